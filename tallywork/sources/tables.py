@@ -62,7 +62,7 @@ class TableStore:
     def commits(self) -> DataFrame:
         """One row per visible batch."""
         schema = T.StructType([T.StructField(BATCH, T.LongType())])
-        return self._read(f"{self.root}/_commits", schema)
+        return self._read(f"{self.root}/_commits", schema).select(BATCH)
 
     def committed(self, batch_id: int) -> bool:
         return not self.commits().filter(F.col(BATCH) == batch_id).isEmpty()
