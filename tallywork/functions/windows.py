@@ -39,3 +39,10 @@ def micros(interval: str) -> int:
         "day": 86_400_000_000,
     }[unit.rstrip("s")]
     return int(count) * size
+
+
+def epoch_slot(ts: Column, length_us: int) -> Column:
+    """Number of the epoch-aligned slot of ``length_us`` microseconds an instant is in."""
+    at = F.unix_micros(ts)
+    size = F.lit(length_us).cast("bigint")
+    return F.call_function("div", at - F.pmod(at, size), size)

@@ -21,7 +21,7 @@ from tallywork.functions.windows import micros
 from tallywork.session import checkpoint_dir
 
 KEYS = ["tenant_id", "idempotency_key"]
-MAX_FOLDED = 10_000
+MAX_FOLDED = 1_000
 
 
 def _fold(rows: DataFrame, ttl_us: int, at: str, tie: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.functions.windows import micros
+from tallywork.functions.windows import epoch_slot, micros
 
 PIECES = "tenant_id string, chunk bigint, first_us bigint, last_us bigint, pieces array<array<bigint>>"
 LEVELS = "tenant_id string, chunk bigint, level bigint"
@@ -193,7 +193,7 @@ def requests_of(events: DataFrame) -> DataFrame:
 
 def contested_slots(requests: DataFrame, bucket: Bucket) -> DataFrame:
     """Slots in which a request might be refused, with the two before and after each."""
-    slot = F.floor(F.unix_micros("received_at") / F.lit(bucket.slot_us)).cast("bigint")
+    slot = epoch_slot(F.col("received_at"), bucket.slot_us)
     pair = (
         requests.select("tenant_id", "tokens", F.explode(F.array(slot, slot + 1)).alias("slot"))
         .groupBy("tenant_id", "slot")
@@ -218,7 +218,8 @@ def simulate(requests: DataFrame, bucket: Bucket, chunk_slots: int = 64) -> Data
         "request_id",
         F.unix_micros("received_at").alias("at_us"),
         "tokens",
-    ).withColumn("chunk", F.floor(F.col("at_us") / F.lit(bucket.slot_us * chunk_slots)).cast("bigint"))
+        epoch_slot(F.col("received_at"), bucket.slot_us * chunk_slots).alias("chunk"),
+    )
     order = ["tenant_id", "chunk", "at_us", "request_id"]
     functions = (
         rows.repartition(n, "tenant_id", "chunk")
@@ -249,7 +250,7 @@ def simulate(requests: DataFrame, bucket: Bucket, chunk_slots: int = 64) -> Data
 
 def decide_requests(requests: DataFrame, bucket: Bucket, chunk_slots: int = 64) -> DataFrame:
     """Add ``granted`` to one row per request."""
-    slot = F.floor(F.unix_micros("received_at") / F.lit(bucket.slot_us)).cast("bigint")
+    slot = epoch_slot(F.col("received_at"), bucket.slot_us)
     slotted = requests.withColumn("slot", slot)
     slots = contested_slots(requests, bucket)
     at_risk = slotted.join(slots, ["tenant_id", "slot"], "left_semi").drop("slot")

@@ -15,11 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def time_chunk(ts: Column, micros: int) -> Column:
-    """Number of the epoch-aligned chunk an instant falls into."""
-    return F.floor(F.unix_micros(ts) / F.lit(micros)).cast("bigint")
-
-
 def _carry(df: DataFrame, keys: Sequence[str], chunk: str, summary: Column, fold) -> DataFrame:
     """Per (key, chunk): the fold of the summaries of all earlier chunks."""
     parts = df.groupBy(*keys, chunk).agg(summary.alias("_part"))
