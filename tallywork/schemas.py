@@ -47,7 +47,7 @@ LEDGER_TRANSACTION = _table(
     id=S, tenant_id=S, description=S, source_charge_id=S, created_at=TS,
 )
 LEDGER_ENTRY = _table(
-    transaction_id=S, line_no=I, tenant_id=S, account_id=S, direction=S,
+    transaction_id=S, line_no=I, tenant_id=S, account_id=S, account_type=S, direction=S,
     amount_minor=L, currency=S, created_at=TS,
 )
 ACCOUNT_BALANCE = _table(
