@@ -105,13 +105,15 @@ def _priced(readings: str, tiers: str, plans: str, version: str) -> str:
     )
 
 
-def _readings(events: str, seconds: int, agg: str) -> str:
+def _readings(events: str, seconds: int, measured: str) -> str:
     ws = window_start("occurred_at", seconds)
     return (
+        f"SELECT tenant_id, meter_code, dimension_key, window_start, "
+        f"window_start + INTERVAL {seconds} SECOND AS window_end, "
+        f"CAST({measured} AS BIGINT) AS quantity, event_count FROM ("
         f"SELECT tenant_id, meter_code, dimension_key, {ws} AS window_start, "
-        f"{ws} + INTERVAL {seconds} SECOND AS window_end, "
-        f"CAST(CASE {agg} ELSE sum(quantity) END AS BIGINT) AS quantity, "
-        f"count(*) AS event_count FROM {events} GROUP BY ALL"
+        f"sum(quantity) AS total, max(quantity) AS peak, count(*) AS event_count "
+        f"FROM {events} GROUP BY ALL)"
     )
 
 
@@ -123,11 +125,11 @@ def charge_text(version: str = "plan_version") -> str:
     )
 
 
-E_AGG = (
-    "WHEN meter_code = 'llm.requests' THEN count(*) WHEN meter_code = 'storage.gb' "
-    "THEN max(quantity)"
+E_MEASURED = (
+    "CASE meter_code WHEN 'llm.requests' THEN event_count WHEN 'storage.gb' THEN peak "
+    "ELSE total END"
 )
-F_AGG = "WHEN meter_code = 'NF' THEN count(*) WHEN meter_code = 'AO' THEN max(quantity)"
+F_MEASURED = "CASE meter_code WHEN 'NF' THEN event_count WHEN 'AO' THEN peak ELSE total END"
 DAY_US = 86_400_000_000
 
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {}
@@ -181,9 +183,9 @@ _cte(
 )
 _cte(
     "next_ok",
-    "SELECT a.event_id, b.event_id AS next_id FROM arrivals a ASOF JOIN arrivals b "
+    "SELECT a.event_id, arg_min(b.event_id, b.pos) AS next_id FROM arrivals a JOIN arrivals b "
     "ON a.tenant_id = b.tenant_id AND a.idempotency_key = b.idempotency_key "
-    f"AND (a.pos // 1000000000 + {DAY_US}) * 1000000000 <= b.pos",
+    f"AND (a.pos // 1000000000 + {DAY_US}) * 1000000000 <= b.pos GROUP BY a.event_id",
     "arrivals",
 )
 _cte(
@@ -206,7 +208,7 @@ for _name, _events, _seconds in [
     ("readings_min", "clean", 60),
     ("readings_acc", "accepted", 86400),
 ]:
-    _cte(_name, _readings(_events, _seconds, E_AGG), _events)
+    _cte(_name, _readings(_events, _seconds, E_MEASURED), _events)
 _cte(
     "plans",
     f"SELECT * FROM (VALUES ('{T1}','standard'),('{T2}','growth'),('{T3}','standard')) "
@@ -249,7 +251,7 @@ _cte(
     "CAST(l_quantity AS BIGINT) AS quantity, 'priority=' || o_orderpriority AS dimension_key, "
     "l_shipdate AS occurred_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 )
-_cte("f_readings", _readings("freight", 7 * 86400, F_AGG), "freight")
+_cte("f_readings", _readings("freight", 7 * 86400, F_MEASURED), "freight")
 _cte(
     "f_plans",
     "SELECT CAST(c_custkey AS VARCHAR) AS tenant_id, c_mktsegment AS plan_code FROM customer",
@@ -329,7 +331,10 @@ _cte(
 
 
 def sql(body: str, *needs: str) -> str:
-    """A full statement: ``body`` with the common table expressions it needs."""
+    """A full statement: ``body`` with the common table expressions it needs.
+
+    A body that starts with a comma goes on with expressions of its own.
+    """
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -343,4 +348,5 @@ def sql(body: str, *needs: str) -> str:
         visit(name)
     if not order:
         return body
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({CTES[n][0]})" for n in order) + " " + body
+    named = ", ".join(f"{n} AS ({CTES[n][0]})" for n in order)
+    return f"WITH RECURSIVE {named}{'' if body.startswith(',') else ' '}{body}"

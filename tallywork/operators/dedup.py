@@ -25,31 +25,28 @@ MAX_FOLDED = 1_000
 
 
 def _fold(rows: DataFrame, ttl_us: int, at: str, tie: str) -> DataFrame:
-    """Flag sightings of keys small enough to be sorted as one array each."""
-    payload = [c for c in rows.columns if c not in (*KEYS, at, tie)]
-    sightings = rows.groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list(F.struct(at, tie, *payload))).alias("_all")
-    )
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("last"),
-        F.array().cast("array<boolean>").alias("flags"),
-    )
+    """Flag sightings of keys small enough to be gathered as one array each.
 
-    def step(state, row):
-        now = F.unix_micros(row[at])
-        repeat = F.coalesce(now < state["last"] + F.lit(ttl_us), F.lit(False))
-        return F.struct(
-            F.when(repeat, state["last"]).otherwise(now).alias("last"),
-            F.concat(state["flags"], F.array(repeat)).alias("flags"),
-        )
+    Only the arrival order is sorted and folded; the rest of a row travels along.
+    """
+    payload = [c for c in rows.columns if c not in KEYS]
+    sightings = rows.groupBy(*KEYS).agg(F.collect_list(F.struct(*payload)).alias("_all"))
 
-    single = F.size("_all") == 1
-    flags = F.when(single, F.array(F.lit(False))).otherwise(
-        F.aggregate("_all", start, step, lambda state: state["flags"])
-    )
+    def mark(row):
+        return F.named_struct(F.lit("at"), F.unix_micros(row[at]), F.lit("tie"), row[tie])
+
+    arrivals = F.array_sort(F.transform("_all", mark))
+    start = F.slice(arrivals, 1, 1)
+
+    def link(chain, mark_):
+        opens = F.element_at(chain, -1)["at"] + F.lit(ttl_us)
+        return F.when(mark_["at"] >= opens, F.concat(chain, F.array(mark_))).otherwise(chain)
+
+    chain = F.when(F.size("_all") == 1, arrivals).otherwise(F.aggregate(arrivals, start, link))
+    row = F.col("_row")
     return (
-        sightings.select(*KEYS, F.explode(F.arrays_zip(F.col("_all"), flags.alias("_f"))).alias("_r"))
-        .select(*KEYS, "_r._all.*", F.col("_r._f").alias("deduplicated"))
+        sightings.select(*KEYS, chain.alias("_chain"), F.explode("_all").alias("_row"))
+        .select(*KEYS, "_row.*", (~F.array_contains("_chain", mark(row))).alias("deduplicated"))
     )
 
 
