@@ -107,7 +107,7 @@ def models(spark: SparkSession, version: int | None = None) -> DataFrame:
     plans = standard.PRICE_PLANS
     if version is not None:
         plans = {code: {**plan, "version": version} for code, plan in plans.items()}
-    return rating.checked_models(catalogs.plan_documents(spark, plans))
+    return catalogs.models_from_documents(catalogs.plan_documents(spark, plans))
 
 
 def tenants(spark: SparkSession) -> DataFrame:
@@ -178,7 +178,7 @@ def freight_meters(spark: SparkSession) -> DataFrame:
 
 
 def freight_models(spark: SparkSession) -> DataFrame:
-    return rating.checked_models(catalogs.plan_documents(spark, freight_plans()))
+    return catalogs.models_from_documents(catalogs.plan_documents(spark, freight_plans()))
 
 
 def freight_readings(spark: SparkSession, sf: str, window: str = "7 days") -> DataFrame:
@@ -265,3 +265,13 @@ def text_of(df: DataFrame) -> DataFrame:
         else:
             out.append(c)
     return df.select(*out)
+
+
+JANUARY = "2024-01"
+
+
+def deliveries(spark: SparkSession, sf: str, window: str = "1 day") -> DataFrame:
+    """Charges as an at-least-once topic delivers them: each twice, corrected the second time."""
+    once = charges(spark, sf, window)
+    again = once.withColumn("amount_minor", F.col("amount_minor") + F.col("quantity_billed") % 2)
+    return once.withColumn("delivery", F.lit(1)).unionByName(again.withColumn("delivery", F.lit(2)))
