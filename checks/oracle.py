@@ -233,17 +233,6 @@ for _name, _source in [("charges", "priced"), ("charges_acc", "priced_acc")]:
         f"FROM {_source}",
         _source,
     )
-for _name, _source in [("lines", "charges"), ("lines_acc", "charges_acc")]:
-    _cte(
-        _name,
-        "SELECT charge_id AS transaction_id, tenant_id, 1 AS line_no, 'DEBIT' AS direction, "
-        f"'RECEIVABLE' AS account_type, amount_minor + tax_minor AS amount_minor FROM {_source} "
-        "UNION ALL SELECT charge_id, tenant_id, 2, 'CREDIT', 'REVENUE', amount_minor "
-        f"FROM {_source} "
-        "UNION ALL SELECT charge_id, tenant_id, 3, 'CREDIT', 'TAX', tax_minor "
-        f"FROM {_source}",
-        _source,
-    )
 _cte(
     "freight",
     "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS idempotency_key, "
@@ -274,14 +263,17 @@ _cte(
     f"FROM f_priced",
     "f_priced",
 )
-_cte(
-    "f_lines",
-    "SELECT charge_id AS transaction_id, tenant_id, 1 AS line_no, 'DEBIT' AS direction, "
-    "'RECEIVABLE' AS account_type, amount_minor + tax_minor AS amount_minor FROM f_charges "
-    "UNION ALL SELECT charge_id, tenant_id, 2, 'CREDIT', 'REVENUE', amount_minor FROM f_charges "
-    "UNION ALL SELECT charge_id, tenant_id, 3, 'CREDIT', 'TAX', tax_minor FROM f_charges",
-    "f_charges",
-)
+for _name, _source in [("lines", "charges"), ("lines_acc", "charges_acc"), ("f_lines", "f_charges")]:
+    _cte(
+        _name,
+        "SELECT charge_id AS transaction_id, tenant_id, 1 AS line_no, 'DEBIT' AS direction, "
+        f"'RECEIVABLE' AS account_type, amount_minor + tax_minor AS amount_minor, window_start FROM {_source} "
+        "UNION ALL SELECT charge_id, tenant_id, 2, 'CREDIT', 'REVENUE', amount_minor, window_start "
+        f"FROM {_source} "
+        "UNION ALL SELECT charge_id, tenant_id, 3, 'CREDIT', 'TAX', tax_minor, window_start "
+        f"FROM {_source}",
+        _source,
+    )
 _cte(
     "f_invoices",
     "SELECT tenant_id, strftime(window_start, '%Y-%m') AS period, "

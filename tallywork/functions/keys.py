@@ -6,29 +6,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _entries(dimensions: Column) -> Column:
-    empty = F.create_map().cast("map<string,string>")
-    return F.map_entries(F.coalesce(dimensions, empty))
-
-
 def sorted_entries(dimensions: Column) -> Column:
     """Dimensions as an array of entries in key order; null becomes empty.
 
     Keys are compared by UTF-16 code unit, the order of the wire contract, so
-    that the identifiers built from this array agree for every key text.
+    that the identifiers built from this array agree for every key text. For
+    plain ASCII keys, the usual case, that is the order Spark sorts strings in,
+    and the array is sorted without a lambda.
     """
+    dims = F.coalesce(dimensions, F.create_map().cast("map<string,string>"))
+    entries = F.map_entries(dims)
+    text = F.concat_ws("", F.map_keys(dims))
     ranked = F.transform(
-        _entries(dimensions),
+        entries,
         lambda e: F.struct(
             F.encode(e["key"], "UTF-16BE").alias("rank"),
             e["key"].alias("key"),
             e["value"].alias("value"),
         ),
     )
-    return F.transform(
-        F.array_sort(ranked),
+    unranked = F.transform(
+        F.sort_array(ranked),
         lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")),
     )
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.sort_array(entries)).otherwise(unranked)
 
 
 def canonical_dimensions(dimensions: Column) -> Column:
@@ -52,19 +54,21 @@ def dimension_key(dimensions: Column) -> Column:
 
 def iso_instant(ts: Column) -> Column:
     """ISO-8601 text of a UTC instant with no, three or six fraction digits, as needed."""
-    micros = F.unix_micros(ts) % 1_000_000
-    return (
-        F.when(micros == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        .when(micros % 1000 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
-        .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000).cast("bigint"))
+    digits = F.lpad(micros.cast("string"), 6, "0")
+    fraction = (
+        F.when(micros == 0, F.lit("Z"))
+        .when(micros % 1000 == 0, F.concat(F.lit("."), F.substring(digits, 1, 3), F.lit("Z")))
+        .otherwise(F.concat(F.lit("."), digits, F.lit("Z")))
     )
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), fraction)
 
 
 def name_uuid(text: Column) -> Column:
     """Name-based UUID (version 3, no namespace): MD5 with version and variant bits set."""
     digest = F.md5(text.cast("binary"))
-    nibble = F.conv(F.substring(digest, 17, 1), 16, 10).cast("int")
-    variant = F.lit("89ab").substr(nibble % 4 + 1, F.lit(1))
+    # The variant digit keeps the two low bits of the digest digit.
+    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
     return F.concat_ws(
         "-",
         F.substring(digest, 1, 8),

@@ -101,25 +101,46 @@ def half_even_ratio(numerator: Column, denominator: Column) -> Column:
     return F.when((rest > other) | ((rest == other) & odd), quotient + away).otherwise(quotient)
 
 
+def _wide_cost(units: Column, unit_price_minor: Column, per_units: Column) -> Column:
+    """:func:`tier_cost` in 38-digit decimals, for products beyond a ``bigint``.
+
+    The remainder is split off first, because decimal division would round once
+    at scale 6 before the final rounding. Written as a lambda over one element:
+    Spark evaluates it out of line, so the generated code of the usual case
+    stays small enough to be compiled.
+    """
+
+    def cost(x: Column) -> Column:
+        product = x["units"] * x["price"]
+        rest = product % x["per"]
+        whole = ((product - rest) / x["per"]).cast("bigint")
+        up = (rest * 2 > x["per"]) | ((rest * 2 == x["per"]) & (whole % 2 == 1))
+        return F.when(up, whole + F.lit(1).cast("bigint")).otherwise(whole)
+
+    args = F.struct(
+        units.cast("decimal(19,0)").alias("units"),
+        unit_price_minor.cast("decimal(19,0)").alias("price"),
+        per_units.cast("decimal(19,0)").alias("per"),
+    )
+    return F.get(F.transform(F.array(args), cost), F.lit(0))
+
+
 def tier_cost(units: Column, unit_price_minor: Column, per_units: Column) -> Column:
     """Cost of ``units`` at a price per quantum, HALF_EVEN to whole minor units.
 
-    The product normally fits a ``bigint`` and stays on the fast path; only a
-    product that does not is computed with 38-digit decimals. The quotient is
-    split into whole part and remainder because decimal division would round
-    once at scale 6 before the final rounding.
+    With ``n / d`` the exact cost, ``(2n + d) div 2d`` rounds half up; an exact
+    tie leaves no remainder there and steps back from an odd result.
     """
-    product = F.try_multiply(units, unit_price_minor)
-    wide = units.cast("decimal(19,0)") * unit_price_minor.cast("decimal(19,0)")
-    per_wide = per_units.cast("decimal(19,0)")
-    rest = wide % per_wide
-    whole = ((wide - rest) / per_wide).cast("bigint")
-    up = (rest * 2 > per_wide) | ((rest * 2 == per_wide) & (whole % 2 == 1))
-    wide_cost = F.when(up, whole + F.lit(1).cast("bigint")).otherwise(whole)
+    two = F.lit(2).cast("bigint")
+    doubled = F.try_add(F.try_multiply(F.try_multiply(units, unit_price_minor), two), per_units)
+    quantum = F.try_multiply(per_units, two)
+    half_up = _div(doubled, quantum)
+    tie = (doubled % quantum == 0) & (half_up % 2 == 1)
+    narrow = half_up - F.when(tie, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     return (
         F.when(units <= 0, F.lit(0).cast("bigint"))
-        .when(product.isNotNull(), half_even_ratio(product, per_units))
-        .otherwise(wide_cost)
+        .when(doubled.isNotNull() & quantum.isNotNull(), narrow)
+        .otherwise(_wide_cost(units, unit_price_minor, per_units))
     )
 
 
