@@ -49,7 +49,11 @@ def freight_plans() -> dict:
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A test table; its zone-less times are UTC instants."""
     configure(spark)
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return in_utc(spark.read.parquet(f"{sf}/{name}.parquet"))
+
+
+def in_utc(df: DataFrame) -> DataFrame:
+    """Zone-less times, read as UTC, to instants."""
     naive = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
 
@@ -64,7 +68,12 @@ def shifted(ts: Column, seconds: Column) -> Column:
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """Usage requests: every event, with skewed clocks, out-of-order arrival and reused keys."""
-    e = table(spark, sf, "events").withColumn("k", k_value())
+    return requests_of(table(spark, sf, "events"))
+
+
+def requests_of(events: DataFrame) -> DataFrame:
+    """:func:`requests` of a table or stream of events."""
+    e = in_utc(events).withColumn("k", k_value())
     meter = (
         F.when(F.col("event_type") == "click", "llm.tokens.input")
         .when(F.col("event_type") == "view", "llm.tokens.output")
@@ -119,13 +128,17 @@ def validated(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.validate(requests(spark, sf), keys(spark), meters(spark))
 
 
-def clean(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests that pass every check without state."""
-    return validated(spark, sf).filter(
+def clean_of(rows: DataFrame, spark: SparkSession) -> DataFrame:
+    """The requests that pass every check without state."""
+    return ingest.validate(rows, keys(spark), meters(spark)).filter(
         F.col("static_reason").isNull() & F.col("business_reason").isNull()
     )
 
 
+def clean(spark: SparkSession, sf: str) -> DataFrame:
+    return clean_of(requests(spark, sf), spark)
+
+
 def ingested(spark: SparkSession, sf: str) -> ingest.Ingested:
     return ingest.ingest(requests(spark, sf), keys(spark), meters(spark))
 
