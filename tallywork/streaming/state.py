@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallywork.functions.windows import micros
+from tallywork.operators.ingest import MAX_FUTURE_SKEW
 from tallywork.operators.ratelimit import Bucket
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -25,10 +26,16 @@ def _us(values: pd.Series) -> list[int]:
 
 
 class FirstSighting(StatefulProcessor):
-    """Pass or flag the sightings of one (tenant, key)."""
+    """Pass or flag the sightings of one (tenant, key).
 
-    def __init__(self, ttl_us: int, at: str, tie: str, keep_duplicates: bool):
+    The TTL is decided on arrival times. The timer only frees the state, and runs
+    on event time, which may be ahead of arrival by the allowed skew; the state
+    is therefore kept that much longer.
+    """
+
+    def __init__(self, ttl_us: int, slack_us: int, at: str, tie: str, keep_duplicates: bool):
         self.ttl_us = ttl_us
+        self.slack_us = slack_us
         self.at = at
         self.tie = tie
         self.keep_duplicates = keep_duplicates
@@ -39,7 +46,9 @@ class FirstSighting(StatefulProcessor):
             "accepted_at", T.StructType([T.StructField("us", T.LongType())])
         )
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(
+        self, key, rows: Iterator[pd.DataFrame], timerValues
+    ) -> Iterator[pd.DataFrame]:
         held = self.accepted.get()
         last = held[0] if held else None
         before = last
@@ -60,12 +69,11 @@ class FirstSighting(StatefulProcessor):
             self.accepted.update((last,))
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer((last + self.ttl_us) // 1000)
+            self.handle.registerTimer((last + self.ttl_us + self.slack_us) // 1000 + 1)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        held = self.accepted.get()
-        if held and held[0] + self.ttl_us <= expired.getExpiryTimeInMs() * 1000 + 999:
-            self.accepted.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # Every update of the state replaces its timer, so the timer is the current one's.
+        self.accepted.clear()
         return iter(())
 
     def close(self) -> None:
@@ -89,7 +97,9 @@ def stream_duplicates(
     if keep_duplicates:
         schema = schema.add("deduplicated", T.BooleanType())
     return events.groupBy("tenant_id", "idempotency_key").transformWithStateInPandas(
-        statefulProcessor=FirstSighting(micros(ttl), at, tie, keep_duplicates),
+        statefulProcessor=FirstSighting(
+            micros(ttl), micros(MAX_FUTURE_SKEW), at, tie, keep_duplicates
+        ),
         outputStructType=schema,
         outputMode="Append",
         timeMode="eventTime",
@@ -109,7 +119,9 @@ class TokenBucket(StatefulProcessor):
             T.StructType([T.StructField("level", T.LongType()), T.StructField("us", T.LongType())]),
         )
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(
+        self, key, rows: Iterator[pd.DataFrame], timerValues
+    ) -> Iterator[pd.DataFrame]:
         held = self.level.get()
         level, last = held if held else (self.bucket.full, None)
         for batch in rows:
