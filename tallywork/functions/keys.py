@@ -69,12 +69,17 @@ def name_uuid(text: Column) -> Column:
     digest = F.md5(text.cast("binary"))
     # The variant digit keeps the two low bits of the digest digit.
     variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat_ws(
-        "-",
+    dash = F.lit("-")
+    return F.concat(
         F.substring(digest, 1, 8),
+        dash,
         F.substring(digest, 9, 4),
-        F.concat(F.lit("3"), F.substring(digest, 14, 3)),
-        F.concat(variant, F.substring(digest, 18, 3)),
+        F.lit("-3"),
+        F.substring(digest, 14, 3),
+        dash,
+        variant,
+        F.substring(digest, 18, 3),
+        dash,
         F.substring(digest, 21, 12),
     )
 

@@ -113,9 +113,9 @@ def _wide_cost(units: Column, unit_price_minor: Column, per_units: Column) -> Co
     def cost(x: Column) -> Column:
         product = x["units"] * x["price"]
         rest = product % x["per"]
-        whole = ((product - rest) / x["per"]).cast("bigint")
+        whole = (product - rest) / x["per"]
         up = (rest * 2 > x["per"]) | ((rest * 2 == x["per"]) & (whole % 2 == 1))
-        return F.when(up, whole + F.lit(1).cast("bigint")).otherwise(whole)
+        return (whole + F.when(up, 1).otherwise(0)).try_cast("bigint")
 
     args = F.struct(
         units.cast("decimal(19,0)").alias("units"),
@@ -125,12 +125,8 @@ def _wide_cost(units: Column, unit_price_minor: Column, per_units: Column) -> Co
     return F.get(F.transform(F.array(args), cost), F.lit(0))
 
 
-def tier_cost(units: Column, unit_price_minor: Column, per_units: Column) -> Column:
-    """Cost of ``units`` at a price per quantum, HALF_EVEN to whole minor units.
-
-    With ``n / d`` the exact cost, ``(2n + d) div 2d`` rounds half up; an exact
-    tie leaves no remainder there and steps back from an odd result.
-    """
+def try_tier_cost(units: Column, unit_price_minor: Column, per_units: Column) -> Column:
+    """:func:`tier_cost`, but null where the cost does not fit a ``bigint``."""
     two = F.lit(2).cast("bigint")
     doubled = F.try_add(F.try_multiply(F.try_multiply(units, unit_price_minor), two), per_units)
     quantum = F.try_multiply(per_units, two)
@@ -144,6 +140,20 @@ def tier_cost(units: Column, unit_price_minor: Column, per_units: Column) -> Col
     )
 
 
+def fits(amount: Column) -> Column:
+    """Fail the job where an amount is null because it did not fit a ``bigint``."""
+    return F.coalesce(amount, F.raise_error(F.lit("amount exceeds a bigint")).cast("bigint"))
+
+
+def tier_cost(units: Column, unit_price_minor: Column, per_units: Column) -> Column:
+    """Cost of ``units`` at a price per quantum, HALF_EVEN to whole minor units.
+
+    With ``n / d`` the exact cost, ``(2n + d) div 2d`` rounds half up; an exact
+    tie leaves no remainder there and steps back from an odd result.
+    """
+    return fits(try_tier_cost(units, unit_price_minor, per_units))
+
+
 def gst(net_minor: Column, rate: Fraction = GST_RATE) -> Column:
     """Tax on a net amount, HALF_EVEN to whole minor units."""
     scaled = net_minor

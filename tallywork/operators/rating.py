@@ -7,45 +7,42 @@ from pyspark.sql import functions as F
 
 from tallywork import schemas
 from tallywork.functions.keys import charge_id, entries_key, sorted_entries
-from tallywork.functions.money import tier_cost
+from tallywork.functions.money import fits, tier_cost
 
 
-def _cost(units: Column, tier: Column) -> Column:
-    return tier_cost(units, tier["unit_price_minor"], tier["per_units"])
+def covering_tier(pricing_type: Column, quantity: Column, tiers: Column) -> Column:
+    """The tier that decides a price: the first whose limit, included, covers the quantity.
 
+    FLAT prices use the first tier whatever its limit. An unknown type fails the job.
+    """
+    unknown = F.raise_error(F.concat(F.lit("unknown pricing type: "), pricing_type))
+    covers = F.filter(tiers, lambda tier: tier["up_to"].isNull() | (quantity <= tier["up_to"]))
+    return (
+        F.when(pricing_type == "FLAT", F.get(tiers, F.lit(0)))
+        .when(pricing_type.isin("TIERED", "VOLUME"), F.get(covers, F.lit(0)))
+        .otherwise(unknown)
+    )
 
-def flat_price(quantity: Column, tiers: Column) -> Column:
-    """Every unit at the first tier's rate, whatever its limit."""
-    return _cost(quantity, tiers[0])
-
-
-def tiered_price(quantity: Column, tiers: Column) -> Column:
-    """Each block of units at its own tier's rate, rounded per block, then added up."""
-
-    def block(total: Column, tier: Column) -> Column:
-        upper = F.least(quantity, F.coalesce(tier["up_to"], quantity))
-        units = F.greatest(F.lit(0).cast("bigint"), upper - tier["lower_bound"])
-        return total + _cost(units, tier)
-
-    return F.aggregate(tiers, F.lit(0).cast("bigint"), block)
 
+def price_in_tier(pricing_type: Column, quantity: Column, tier: Column) -> Column:
+    """Price of a quantity, given its covering tier.
 
-def volume_price(quantity: Column, tiers: Column) -> Column:
-    """All units at the rate of the first tier whose limit, included, covers the quantity."""
-    covering = F.filter(
-        tiers, lambda tier: tier["up_to"].isNull() | (quantity <= tier["up_to"])
-    )
-    return _cost(quantity, covering[0])
+    FLAT and VOLUME price every unit at the tier's rate. TIERED prices the units
+    above the tier's lower bound and adds what the full blocks below cost, each
+    rounded on its own; that sum depends on the ladder only and is part of the
+    price model.
+    """
+    graduated = pricing_type == "TIERED"
+    units = F.when(graduated, quantity - tier["lower_bound"]).otherwise(quantity)
+    below = F.when(graduated, tier["below_minor"]).otherwise(F.lit(0).cast("bigint"))
+    return tier_cost(units, tier["unit_price_minor"], tier["per_units"]) + fits(below)
 
 
 def price(pricing_type: Column, quantity: Column, tiers: Column) -> Column:
-    """Price by pricing type; an unknown type fails the job."""
-    unknown = F.raise_error(F.concat(F.lit("unknown pricing type: "), pricing_type))
-    return (
-        F.when(pricing_type == "FLAT", flat_price(quantity, tiers))
-        .when(pricing_type == "TIERED", tiered_price(quantity, tiers))
-        .when(pricing_type == "VOLUME", volume_price(quantity, tiers))
-        .otherwise(unknown.cast("bigint"))
+    """Price of a quantity on a ladder."""
+    chosen = F.array(covering_tier(pricing_type, quantity, tiers))
+    return F.get(
+        F.transform(chosen, lambda tier: price_in_tier(pricing_type, quantity, tier)), F.lit(0)
     )
 
 
@@ -61,18 +58,34 @@ def with_model(planned: DataFrame, models: DataFrame) -> DataFrame:
 
 def to_charges(priced: DataFrame) -> DataFrame:
     """Project priced readings to the charge contract."""
-    entries = sorted_entries(F.col("dimensions"))
-    return priced.select(
+    kind, quantity = F.col("pricing_type"), F.col("quantity")
+    staged = priced.select(
+        "tenant_id",
+        "meter_code",
+        "window",
+        "dimensions",
+        "quantity",
+        "currency",
+        "plan_version",
+        "pricing_type",
+        covering_tier(kind, quantity, F.col("tiers")).alias("tier"),
+        sorted_entries(F.col("dimensions")).alias("entries"),
+    )
+    return staged.select(
         F.lit(schemas.SCHEMA_VERSION).alias("schema_version"),
         charge_id(
-            F.col("tenant_id"), F.col("meter_code"), F.col("window"), entries, F.col("plan_version")
+            F.col("tenant_id"),
+            F.col("meter_code"),
+            F.col("window"),
+            F.col("entries"),
+            F.col("plan_version"),
         ).alias("charge_id"),
         "tenant_id",
         "meter_code",
         "window",
         "dimensions",
         F.col("quantity").alias("quantity_billed"),
-        price(F.col("pricing_type"), F.col("quantity"), F.col("tiers")).alias("amount_minor"),
+        price_in_tier(kind, quantity, F.col("tier")).alias("amount_minor"),
         "currency",
         "plan_version",
     )

@@ -14,8 +14,15 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # HotSpot never compiles a method of more than 8000 bytes of bytecode. A stage
+    # that would generate one runs faster as separately compiled projections.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Fixed when a session is created. Plans here are built from many small column
+# expressions; recording the Python call site of each costs more than building it.
+STATIC_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
@@ -36,7 +43,7 @@ def build_session(
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in {**RUNTIME_CONF, **(extra or {})}.items():
+    for key, value in {**RUNTIME_CONF, **STATIC_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

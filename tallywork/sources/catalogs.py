@@ -13,11 +13,12 @@ import hashlib
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywork import schemas
+from tallywork.functions.money import try_tier_cost
 
 TIER = T.StructType(
     [
@@ -92,17 +93,37 @@ def flatten_plans(documents: DataFrame) -> DataFrame:
     )
 
 
+def _with_blocks_below(ladder: Column) -> Column:
+    """Add to each tier of a ladder what the full blocks below it cost.
+
+    Null where that does not fit a ``bigint``: only a quantity that reaches such a
+    tier fails.
+    """
+
+    def block(total: Column, tier: Column) -> Column:
+        units = tier["up_to"] - tier["lower_bound"]
+        cost = try_tier_cost(units, tier["unit_price_minor"], tier["per_units"])
+        return F.try_add(total, cost)
+
+    return F.transform(
+        ladder,
+        lambda tier, i: tier.withField(
+            "below_minor", F.aggregate(F.slice(ladder, 1, i), F.lit(0).cast("bigint"), block)
+        ),
+    )
+
+
 def price_models(tiers: DataFrame) -> DataFrame:
     """One row per (plan, meter) with its ladder as an array, ready to join to readings."""
+    ladder = F.array_sort(
+        F.collect_list(
+            F.struct("tier_no", "lower_bound", "up_to", "unit_price_minor", "per_units")
+        )
+    )
     return (
         tiers.groupBy("plan_code", "plan_version", "currency", "meter_code", "pricing_type")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct("tier_no", "lower_bound", "up_to", "unit_price_minor", "per_units")
-                )
-            ).alias("tiers")
-        )
+        .agg(ladder.alias("tiers"))
+        .withColumn("tiers", _with_blocks_below(F.col("tiers")))
     )
 
 
@@ -134,7 +155,7 @@ def models_from_documents(documents: DataFrame) -> DataFrame:
         "meter_code",
         F.col("price.type").alias("pricing_type"),
         ladder.alias("tiers"),
-    )
+    ).withColumn("tiers", _with_blocks_below(F.col("tiers")))
 
 
 def tenant_plans(spark: SparkSession, plans: dict[str, str]) -> DataFrame:
