@@ -30,7 +30,11 @@ DEDUP_TTL = "24 hours"
 
 @dataclass(frozen=True)
 class Ingested:
-    """The outputs of :func:`ingest`, all views on one set of decided rows."""
+    """The outputs of :func:`ingest`, all views on one set of decided rows.
+
+    A job that needs more than one of them should write ``outcomes`` once and read
+    the others from that table.
+    """
 
     outcomes: DataFrame
 
@@ -170,17 +174,14 @@ def ingest(
     rows = rows.withColumn(
         "reject_reason", F.coalesce("static_reason", limited, "business_reason")
     ).drop("static_reason", "business_reason", "granted")
-    clean = rows.filter(F.col("reject_reason").isNull())
-    flagged = dedup.flag_duplicates(clean, ttl, max_folded=max_folded)
-    rejected = rows.filter(F.col("reject_reason").isNotNull()).withColumn(
-        "deduplicated", F.lit(False)
-    )
+    clean = F.col("reject_reason").isNull()
+    flagged = dedup.flag_duplicates(rows, ttl, max_folded=max_folded, among=clean)
     outcome = (
         F.when(F.col("reject_reason").isNotNull(), REJECTED)
         .when(F.col("deduplicated"), DEDUPLICATED)
         .otherwise(ACCEPTED)
     )
-    return Ingested(flagged.unionByName(rejected).withColumn("outcome", outcome))
+    return Ingested(flagged.withColumn("outcome", outcome))
 
 
 def batch_responses(outcomes: DataFrame, with_results: bool = False) -> DataFrame:

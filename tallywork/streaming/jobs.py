@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tallywork import schemas
 from tallywork.operators import metering, outbox, posting, rating
 from tallywork.plans.billing import post_batch
+from tallywork.session import checkpoint_dir
 from tallywork.sources import wire
 from tallywork.sources.tables import TableStore
 from tallywork.streaming.state import stream_duplicates
@@ -56,9 +57,13 @@ def post_charges(charges: DataFrame, store: TableStore, checkpoint: str) -> Data
     and by charge id, so the ledger sees each charge once.
     """
 
+    checkpoint_dir(store.spark)
+
     def post(batch: DataFrame, batch_id: int) -> None:
-        ordered = batch.withColumn("delivery", F.xxhash64("charge_id", "amount_minor"))
-        if not batch.isEmpty():
+        # Posting reads the batch more than once; the checkpoint runs its plan, and
+        # the state operators in it, only once.
+        ordered = batch.withColumn("delivery", F.xxhash64("charge_id", "amount_minor")).checkpoint()
+        if not ordered.isEmpty():
             post_batch(store, ordered, batch_id, "delivery")
 
     return charges.writeStream.foreachBatch(post).option("checkpointLocation", checkpoint)

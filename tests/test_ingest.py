@@ -115,8 +115,8 @@ def brute_dedup(rows, ttl):
     return out
 
 
-@pytest.mark.parametrize("max_folded", [1000, 5, 1])
-def test_dedup_matches_brute_force(spark, max_folded):
+@pytest.mark.parametrize(("max_folded", "max_giants"), [(1000, 9), (5, 10_000), (5, 4), (1, 1)])
+def test_dedup_matches_brute_force(spark, max_folded, max_giants):
     rng = random.Random(3)
     rows = []
     for i in range(900):
@@ -129,11 +129,24 @@ def test_dedup_matches_brute_force(spark, max_folded):
     )
     got = {
         r.event_id: r.deduplicated
-        for r in dedup.flag_duplicates(df, max_folded=max_folded).collect()
+        for r in dedup.flag_duplicates(
+            df, max_folded=max_folded, max_giants=max_giants
+        ).collect()
     }
     assert got == brute_dedup(rows, timedelta(hours=24))
 
 
+def test_dedup_passes_rows_that_do_not_take_part(spark):
+    df = spark.createDataFrame(
+        [(at(i), i, "t", "k", i % 2 == 0) for i in range(6)] + [(at(9), 9, None, None, False)],
+        "received_at timestamp, event_id bigint, tenant_id string, idempotency_key string, ok boolean",
+    )
+    for max_folded in (1000, 1):
+        rows = dedup.flag_duplicates(df, max_folded=max_folded, among=F.col("ok")).collect()
+        got = {r.event_id: r.deduplicated for r in rows}
+        assert got == {0: False, 1: False, 2: True, 3: False, 4: True, 5: False, 9: False}
+
+
 def test_dedup_ttl_runs_from_the_accepted_sighting(spark):
     hours = [0, 23, 25, 47, 50]
     df = spark.createDataFrame(
