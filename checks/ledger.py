@@ -10,6 +10,7 @@ from checks.oracle import account_id, gst, iso, sql, uuid3
 from checks.registry import query
 from tallywork.operators import invoicing, ledger, metering, outbox, posting, rating
 from tallywork.plans.billing import Book, book_of
+from tallywork.session import staged
 
 SIGNED = "CAST(sum(CASE WHEN direction = 'DEBIT' THEN amount_minor ELSE -amount_minor END) AS BIGINT)"
 DESCRIPTION = (
@@ -27,6 +28,11 @@ def _freight_book(spark, sf) -> Book:
     return book_of(data.freight_charges(spark, sf))
 
 
+def _staged_freight_book(spark, sf) -> Book:
+    """For queries that use several tables of the book: the charges are computed once."""
+    return book_of(staged(data.freight_charges(spark, sf)))
+
+
 def _signed_by(keys: str, source: str) -> str:
     return sql(
         f"SELECT {keys}, {SIGNED} AS balance_minor FROM {source} GROUP BY ALL", source
@@ -209,7 +215,7 @@ def balances(spark, sf):
     )
 )
 def recomputed_balances(spark, sf):
-    book = _freight_book(spark, sf)
+    book = _staged_freight_book(spark, sf)
     return ledger.recomputed_balances(book.entries, book.accounts)
 
 
@@ -225,7 +231,7 @@ def recomputed_balances(spark, sf):
 )
 def verify_drifted(spark, sf):
     """Balances that miss one year's receivables and revenue are found, tenant by tenant."""
-    charges = data.freight_charges(spark, sf)
+    charges = staged(data.freight_charges(spark, sf))
     book = book_of(charges)
     lost = book_of(charges.filter(F.year("window.start") == 1998)).entries
     kept = book.entries.join(
@@ -246,7 +252,7 @@ def verify_drifted(spark, sf):
     "CAST(0 AS BIGINT) AS discrepancies FROM customer"
 )
 def verify(spark, sf):
-    book = _freight_book(spark, sf)
+    book = _staged_freight_book(spark, sf)
     return ledger.verify(
         data.freight_tenants(spark, sf),
         ledger.balances(book.balance, book.accounts),
@@ -279,11 +285,9 @@ def trial_balance(spark, sf):
     return ledger.trial_balance(_freight_book(spark, sf).entries)
 
 
-def _headers(spark, sf):
-    """Freight transactions, recorded at the end of their window."""
-    charges = data.freight_charges(spark, sf)
-    at = charges.select(F.col("charge_id").alias("id"), F.col("window.end").alias("created_at"))
-    return posting.transaction_headers(charges).join(at, "id")
+def _headers(charges):
+    """Transactions, recorded at the end of their window."""
+    return posting.transaction_headers(charges.withColumn("created_at", F.col("window.end")))
 
 
 _RECENT = (
@@ -301,7 +305,8 @@ _RECENT = (
     )
 )
 def recent_transactions(spark, sf):
-    return ledger.recent_transactions(_headers(spark, sf), 5).drop("source_charge_id")
+    charges = data.freight_charges(spark, sf)
+    return ledger.recent_transactions(_headers(charges), 5).drop("source_charge_id")
 
 
 @query(
@@ -313,8 +318,9 @@ def recent_transactions(spark, sf):
     )
 )
 def recent_of_tenant(spark, sf):
-    entries = _freight_book(spark, sf).entries
-    newest = ledger.recent_of_tenant(_headers(spark, sf), "7", 9999)
+    charges = staged(data.freight_charges(spark, sf))
+    entries = book_of(charges).entries
+    newest = ledger.recent_of_tenant(_headers(charges), "7", 9999)
     text = F.transform(
         "entries",
         lambda e: F.concat_ws(":", e["line_no"].cast("string"), e["amount_minor"].cast("string")),
@@ -333,10 +339,11 @@ def recent_of_tenant(spark, sf):
     )
 )
 def transaction_by_id(spark, sf):
-    headers = _headers(spark, sf)
+    charges = staged(data.freight_charges(spark, sf))
+    headers = _headers(charges)
     wanted = ledger.scoped(headers, "7").agg(F.min("id")).first()[0]
     found = ledger.transaction(headers, "7", wanted)
-    return ledger.with_entries(found, _freight_book(spark, sf).entries).select(
+    return ledger.with_entries(found, book_of(charges).entries).select(
         "id", "tenant_id", "description", F.size("entries").alias("entry_count")
     )
 
@@ -400,7 +407,7 @@ def normal_balances(spark, sf):
 )
 def integrity_faults(spark, sf):
     """A segment's tenants are unknown and amounts above 900 are negative; both are found."""
-    book = _freight_book(spark, sf)
+    book = _staged_freight_book(spark, sf)
     tenants = data.freight_tenants(spark, sf).filter(F.col("plan_code") != "BUILDING")
     amount = F.col("amount_minor")
     damaged = book.entries.withColumn("amount_minor", F.when(amount > 900, -amount).otherwise(amount))
@@ -600,7 +607,7 @@ def relay_pending(spark, sf):
     )
 )
 def reconcile_invoices(spark, sf):
-    book = _freight_book(spark, sf)
+    book = _staged_freight_book(spark, sf)
     charges = invoicing.in_period(book.billed)
     lines = invoicing.invoice_lines(charges)
     due = lines.select("tenant_id", "period", "currency").distinct()

@@ -74,7 +74,11 @@ def to_entries(lines: DataFrame) -> DataFrame:
 
 
 def transaction_headers(charges: DataFrame) -> DataFrame:
-    """One ledger transaction per charge; the charge id is the transaction id."""
+    """One ledger transaction per charge; the charge id is the transaction id.
+
+    ``created_at`` and ``billing_month`` are kept where the charges have them.
+    """
+    kept = [c for c in ("created_at", "billing_month") if c in charges.columns]
     description = F.concat(
         F.lit("usage charge: meter="),
         F.col("meter_code"),
@@ -92,6 +96,7 @@ def transaction_headers(charges: DataFrame) -> DataFrame:
         "tenant_id",
         description.alias("description"),
         F.col("charge_id").alias("source_charge_id"),
+        *kept,
     )
 
 

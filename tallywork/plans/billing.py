@@ -36,18 +36,27 @@ class Book:
 
 
 def book_of(charges: DataFrame) -> Book:
-    """All ledger tables as views on ``charges``, whose ids are unique."""
-    entries = posting.to_entries(posting.posting_lines(charges))
-    nothing = charges.select(
-        "tenant_id", F.lit("").alias("type"), "currency"
-    ).filter(F.lit(False))
+    """All ledger tables as views on ``charges``, whose ids are unique.
+
+    Balances are summed by the natural key of the account; its id is derived from
+    the sums, not for every line. Stage the charges first if several of the tables
+    are used.
+    """
+    lines = posting.posting_lines(charges)
+    sums = lines.groupBy("tenant_id", "account_type", "currency").agg(
+        F.sum(posting.signed_amount()).alias("balance_minor")
+    )
+    balance = posting.to_entries(sums)
     return Book(
-        transactions=posting.transaction_headers(charges).withColumn(
-            "created_at", F.lit(None).cast("timestamp")
+        transactions=posting.transaction_headers(charges),
+        entries=posting.to_entries(lines),
+        accounts=balance.select(
+            F.col("account_id").alias("id"),
+            "tenant_id",
+            F.col("account_type").alias("type"),
+            "currency",
         ),
-        entries=entries,
-        accounts=posting.needed_accounts(entries, nothing),
-        balance=ledger.balance_deltas(entries),
+        balance=balance.select("account_id", "tenant_id", "currency", "balance_minor"),
         billed=posting.billed_charges(charges),
     )
 
@@ -76,10 +85,7 @@ def post_batch(store: TableStore, charges: DataFrame, batch_id: int, order: str)
         "window", F.struct(F.col("window_start").alias("start"), F.col("window_end").alias("end"))
     )
 
-    headers = posting.transaction_headers(booked).join(
-        written.select(F.col("charge_id").alias("id"), "created_at", MONTH), "id"
-    )
-    store.write("ledger_transaction", headers, batch_id)
+    store.write("ledger_transaction", posting.transaction_headers(booked), batch_id)
     entries = posting.to_entries(posting.posting_lines(booked)).withColumn("created_at", now)
     store.write("ledger_entry", entries, batch_id)
     new_entries = store.read_batch("ledger_entry", batch_id)

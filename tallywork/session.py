@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings: billing windows and periods are UTC, money must fail loudly
 # on overflow, and AQE splits skewed joins and coalesces small shuffles.
@@ -67,3 +68,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="tallywork-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """Write ``rows`` as a table in the shared folder and return that table.
+
+    For rows several later steps read: they are computed once, survive a lost
+    executor, and each step scans only the columns it needs.
+    """
+    path = f"{checkpoint_dir(rows.sparkSession)}/staged-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
