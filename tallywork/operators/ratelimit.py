@@ -180,10 +180,6 @@ def _decide(bucket: Bucket):
     return run
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def requests_of(events: DataFrame) -> DataFrame:
     """One row per request: arrival time and one token per event."""
     return events.groupBy("tenant_id", "request_id").agg(
@@ -212,7 +208,6 @@ def simulate(requests: DataFrame, bucket: Bucket, chunk_slots: int = 64) -> Data
     The functions emitted for a tenant number one per chunk in which it was
     active, however many requests a chunk holds.
     """
-    n = _partitions(requests)
     rows = requests.select(
         "tenant_id",
         "request_id",
@@ -222,12 +217,12 @@ def simulate(requests: DataFrame, bucket: Bucket, chunk_slots: int = 64) -> Data
     )
     order = ["tenant_id", "chunk", "at_us", "request_id"]
     functions = (
-        rows.repartition(n, "tenant_id", "chunk")
+        rows.repartition("tenant_id", "chunk")
         .sortWithinPartitions(*order)
         .mapInPandas(_chunk_functions(bucket), PIECES)
     )
     levels = (
-        functions.repartition(n, "tenant_id")
+        functions.repartition("tenant_id")
         .sortWithinPartitions("tenant_id", "chunk")
         .mapInPandas(_chain_chunks(bucket), LEVELS)
     )
@@ -242,7 +237,7 @@ def simulate(requests: DataFrame, bucket: Bucket, chunk_slots: int = 64) -> Data
     return (
         rows.withColumn("level", F.lit(-1).cast("bigint"))
         .unionByName(opening)
-        .repartition(n, "tenant_id", "chunk")
+        .repartition("tenant_id", "chunk")
         .sortWithinPartitions(*order)
         .mapInPandas(_decide(bucket), DECISIONS)
     )

@@ -92,10 +92,10 @@ def post_batch(store: TableStore, charges: DataFrame, batch_id: int, order: str)
     accounts = posting.needed_accounts(new_entries, store.read("ledger_account"))
     store.write("ledger_account", accounts.select("*", now), batch_id)
 
-    previous = snapshot(store, store.last_batch(before=batch_id))
+    previous = snapshot(store, store.last_posted(before=batch_id))
     after = ledger.apply_deltas(previous, ledger.balance_deltas(new_entries))
     store.write("account_balance", after.withColumn("updated_at", F.current_timestamp()), batch_id)
-    store.commit(batch_id)
+    store.commit(batch_id, posted=True)
     return batch_outcomes(store, charges, batch_id)
 
 
@@ -115,7 +115,7 @@ def invoice_run(store: TableStore, period: str, batch_id: int, run: int = 1) ->
     """Invoice every tenant for a period and return the headers.
 
     Headers, lines, charge links and outbox rows belong to one batch and become
-    visible together. The balance snapshot is carried over to the new batch.
+    visible together.
     """
     if not store.committed(batch_id):
         charges = invoicing.uninvoiced(
@@ -139,8 +139,6 @@ def invoice_run(store: TableStore, period: str, batch_id: int, run: int = 1) ->
         store.write("invoice_line", lines.withColumn("invoice_id", stored_id), batch_id)
         announced = outbox.outbox_rows(invoicing.invoice_events(headers))
         store.write("outbox", announced.withColumn("created_at", now), batch_id)
-        last = snapshot(store, store.last_batch(before=batch_id))
-        store.write("account_balance", last, batch_id)
         store.commit(batch_id)
     return store.read_batch("invoice", batch_id)
 
@@ -154,8 +152,6 @@ def relay_run(store: TableStore, send, batch_id: int) -> int:
     rows = outbox.pending(store.read("outbox"), store.read("published_log"))
     send(outbox.messages(rows))
     store.write("published_log", outbox.published_log(rows), batch_id)
-    last = snapshot(store, store.last_batch(before=batch_id))
-    store.write("account_balance", last, batch_id)
     store.commit(batch_id)
     return store.read_batch("published_log", batch_id).count()
 
@@ -163,7 +159,7 @@ def relay_run(store: TableStore, send, batch_id: int) -> int:
 def verify_store(store: TableStore) -> DataFrame:
     """Per tenant: whether the balance snapshot agrees with the entries."""
     accounts = store.read("ledger_account")
-    current = ledger.balances(snapshot(store, store.last_batch()), accounts)
+    current = ledger.balances(snapshot(store, store.last_posted()), accounts)
     return ledger.verify(
         store.read("tenant"), current, ledger.recomputed_balances(store.read("ledger_entry"), accounts)
     )

@@ -60,15 +60,18 @@ class TableStore:
             return self.spark.createDataFrame([], schema)
 
     def commits(self) -> DataFrame:
-        """One row per visible batch."""
-        schema = T.StructType([T.StructField(BATCH, T.LongType())])
-        return self._read(f"{self.root}/_commits", schema).select(BATCH)
+        """One row per visible batch; ``posted`` marks those that left a balance snapshot."""
+        schema = T.StructType(
+            [T.StructField(BATCH, T.LongType()), T.StructField("posted", T.BooleanType())]
+        )
+        return self._read(f"{self.root}/_commits", schema).select(BATCH, "posted")
 
     def committed(self, batch_id: int) -> bool:
         return not self.commits().filter(F.col(BATCH) == batch_id).isEmpty()
 
-    def last_batch(self, before: int | None = None) -> int | None:
-        commits = self.commits()
+    def last_posted(self, before: int | None = None) -> int | None:
+        """The newest batch with a balance snapshot."""
+        commits = self.commits().filter("posted")
         if before is not None:
             commits = commits.filter(F.col(BATCH) < before)
         return commits.agg(F.max(BATCH)).first()[0]
@@ -78,7 +81,7 @@ class TableStore:
         rows = self._read(f"{self.root}/{table}", self._schema(table))
         if months is not None and table in BY_MONTH:
             rows = rows.filter(F.col(MONTH).isin(list(months)))
-        return rows.join(self.commits(), BATCH, "left_semi").drop(BATCH)
+        return rows.join(self.commits().select(BATCH), BATCH, "left_semi").drop(BATCH)
 
     def read_batch(self, table: str, batch_id: int) -> DataFrame:
         """Rows of one batch, committed or not; for the writer itself."""
@@ -98,7 +101,9 @@ class TableStore:
             .parquet(f"{self.root}/{table}")
         )
 
-    def commit(self, batch_id: int) -> None:
+    def commit(self, batch_id: int, posted: bool = False) -> None:
         """Make the batch visible; the last step of a run."""
-        row = self.spark.range(1).select(F.lit(batch_id).cast("bigint").alias(BATCH))
+        row = self.spark.range(1).select(
+            F.lit(batch_id).cast("bigint").alias(BATCH), F.lit(posted).alias("posted")
+        )
         row.write.mode("overwrite").parquet(f"{self.root}/_commits/part={batch_id}")

@@ -171,8 +171,11 @@ def test_posting_is_idempotent(store, charges):
 
 
 def test_uncommitted_batch_is_invisible_and_its_retry_overwrites(store, charges, monkeypatch):
+    def lose(batch_id, posted=False):
+        raise OSError("lost")
+
     batch = delivered(charges, (A, ACME, METER, 1, 100, 0))
-    monkeypatch.setattr(store, "commit", lambda batch_id: (_ for _ in ()).throw(OSError("lost")))
+    monkeypatch.setattr(store, "commit", lose)
     with pytest.raises(OSError):
         post_batch(store, batch, 1, "seq")
     assert store.read("billed_charge").isEmpty()
