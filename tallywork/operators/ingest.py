@@ -74,6 +74,22 @@ def oversized_batches(requests: DataFrame, limit: int = MAX_BATCH) -> DataFrame:
     )
 
 
+def refuse_oversized(rows: DataFrame, limit: int = MAX_BATCH) -> DataFrame:
+    """Give every event of an oversized request a ``static_reason``, as it is refused whole.
+
+    For flat rows. Requests that still hold their events as an array are checked
+    without a shuffle by :func:`explode_batches`.
+    """
+    refused = oversized_batches(rows, limit).select("request_id", F.lit(True).alias("_refused"))
+    reason = F.when(F.col("_refused"), VALIDATION_FAILED)
+    return (
+        rows.join(refused, "request_id", "left")
+        .withColumn("static_reason", F.coalesce("static_reason", reason))
+        .drop("_refused")
+        .select(*rows.columns)
+    )
+
+
 def explode_batches(batches: DataFrame, limit: int = MAX_BATCH) -> tuple[DataFrame, DataFrame]:
     """Batch requests with an ``events`` array to one row per event, and the refused batches."""
     size = F.coalesce(F.size("events"), F.lit(0))
@@ -156,13 +172,18 @@ def ingest(
     bucket: ratelimit.Bucket | None = None,
     ttl: str = DEDUP_TTL,
     max_folded: int = dedup.MAX_FOLDED,
+    max_batch: int | None = None,
 ) -> Ingested:
     """Decide every event of a batch of requests.
 
     ``bucket`` switches the rate limit on; it costs a second pass over the
     requests to find the slots in which a tenant asks for more than it may.
+    ``max_batch`` refuses requests with more events than that, see
+    :func:`refuse_oversized`.
     """
     rows = validate(requests, keys, catalog)
+    if max_batch is not None:
+        rows = refuse_oversized(rows, max_batch)
     if bucket is None:
         limited = F.lit(None).cast("string")
     else:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tallywork import schemas
-from tallywork.operators import metering, outbox, posting, rating
+from tallywork.operators import ingest, metering, outbox, posting, rating
 from tallywork.plans.billing import post_batch
 from tallywork.session import checkpoint_dir
 from tallywork.sources import wire
@@ -20,6 +20,39 @@ def usage_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return wire.decode(raw, schemas.USAGE_EVENT)
 
 
+def admitted(
+    requests: DataFrame,
+    keys: DataFrame,
+    meters: DataFrame,
+    disorder: str = "10 minutes",
+    ttl: str = ingest.DEDUP_TTL,
+) -> DataFrame:
+    """Accepted usage events of a stream of requests, ready for the topic.
+
+    The checks are those of the batch job: tenant, validation, deduplication.
+    The watermark follows arrival, not occurrence, so an event that occurred long
+    ago is still admitted; ``disorder`` is how far arrival times may be out of
+    order between partitions of the source.
+    """
+    checked = ingest.validate(requests, keys, meters)
+    clean = checked.filter(
+        F.col("static_reason").isNull() & F.col("business_reason").isNull()
+    ).drop("static_reason", "business_reason")
+    timed = clean.withWatermark("received_at", disorder)
+    return ingest.stamp(stream_duplicates(timed, "received_at", ttl))
+
+
+def refused(requests: DataFrame, keys: DataFrame, meters: DataFrame) -> DataFrame:
+    """The rest of such a stream: requests that fail a check, with the reason."""
+    checked = ingest.validate(requests, keys, meters)
+    reason = F.coalesce("static_reason", "business_reason")
+    return (
+        checked.withColumn("reject_reason", reason)
+        .filter(F.col("reject_reason").isNotNull())
+        .drop("static_reason", "business_reason")
+    )
+
+
 def metered(
     events: DataFrame,
     meters: DataFrame,

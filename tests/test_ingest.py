@@ -79,6 +79,13 @@ def test_batch_response(spark, keys, meters):
     assert (row.received, row.accepted, row.deduplicated, len(row.results)) == (2, 2, 0, 2)
 
 
+def test_oversized_request_is_refused_whole(spark, keys, meters):
+    rows = [request(i, f"k{i}", rid="big") for i in range(3)] + [request(9, "k9", rid="small")]
+    _, got = decide(spark, keys, meters, *rows, max_batch=2)
+    assert got.pop(9) == ("accepted", None)
+    assert set(got.values()) == {("rejected", "validation_failed")}
+
+
 def test_explode_batches_checks_size(spark):
     rows = spark.createDataFrame(
         [("a", [(1,), (2,)]), ("b", []), ("c", [(i,) for i in range(4)]), ("d", None)],

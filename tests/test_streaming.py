@@ -143,6 +143,34 @@ def test_token_bucket(spark, feed, tmp_path):
     assert got == {"1": True, "2": True, "3": False, "4": False, "5": True, "6": False}
 
 
+def test_requests_are_admitted_or_refused(spark, feed, meters, tmp_path):
+    keys = catalogs.api_keys(spark, {ACME: ["acme"]})
+
+    def ask(event_id, key, api_key="acme", meter=METER, quantity=1, ahead=0):
+        row = event(key, event_id + ahead, quantity, meter)
+        row["received_at"] = event("", event_id, 0)["received_at"]
+        return {**row, "event_id": event_id, "request_id": str(event_id), "api_key": api_key}
+
+    feed.add(ask(1, "a"), ask(2, "a"), ask(3, "b", "nobody"), ask(4, "c", meter="unknown"))
+    feed.add(ask(5, "a"), ask(9, "g", ahead=-90 * 86400), ask(6, "d", ahead=301), ask(7, "e", ahead=300), ask(8, "f", quantity=-1))
+    requests = source(spark, feed, schemas.USAGE_REQUEST)
+
+    def collect(rows, name):
+        run(
+            rows.writeStream.format("memory").queryName(name).outputMode("append")
+            .option("checkpointLocation", str(tmp_path / name))
+        )
+        return spark.sql(f"select * from {name}")
+
+    accepted = collect(jobs.admitted(requests, keys, meters), "admitted")
+    assert accepted.columns == schemas.USAGE_EVENT.names
+    assert sorted(r.idempotency_key for r in accepted.collect()) == ["a", "e", "g"]
+    rejected = collect(jobs.refused(requests, keys, meters), "refused")
+    assert {r.event_id: r.reject_reason for r in rejected.collect()} == {
+        3: "unauthorized", 4: "invalid_event", 6: "invalid_event", 8: "validation_failed",
+    }
+
+
 def test_events_to_ledger(spark, feed, meters, tenant_plan, models, tmp_path):
     store = TableStore(spark, str(tmp_path / "ledger"))
     tenants = catalogs.tenants(spark, standard.TENANT_NAMES, standard.TENANT_PLANS)
