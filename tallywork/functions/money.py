@@ -93,12 +93,12 @@ def half_even_ratio(numerator: Column, denominator: Column) -> Column:
     Both sides are ``bigint`` and the denominator is positive. The comparison
     is written as ``r > d - r`` because ``2 * r`` could overflow.
     """
-    quotient = _div(numerator, denominator)
+    whole = _div(numerator, denominator)
     rest = F.abs(numerator % denominator)
     other = denominator - rest
-    odd = quotient % 2 != 0
+    odd = whole % 2 != 0
     away = F.when(numerator < 0, F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
-    return F.when((rest > other) | ((rest == other) & odd), quotient + away).otherwise(quotient)
+    return F.when((rest > other) | ((rest == other) & odd), whole + away).otherwise(whole)
 
 
 def _wide_cost(units: Column, unit_price_minor: Column, per_units: Column) -> Column:
