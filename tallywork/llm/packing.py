@@ -116,24 +116,28 @@ def _first(key: tuple, table: pa.Table, size: int, keep: int, nearly: int) -> pa
     )
 
 
-def _merge(key: tuple, table: pa.Table, level: int, size: int, keep: int, nearly: int) -> pa.Table:
-    node = key[0].as_py()
-    table = table.sort_by([("load", "descending"), ("bin", "ascending")])
-    chosen, offsets, loads = best_fit(table.column("load").to_numpy(), size)
-    up = _upward(loads, size, keep, nearly)
-    base = (level << 56) | (node << 24)
-    n = len(table)
-    return pa.table(
-        {
-            "level": pa.array(np.full(n, level, np.int32)),
-            "node": pa.array(np.full(n, node)),
-            "bin": table.column("bin"),
-            "parent": base + chosen,
-            "shift": offsets,
-            "load": loads[chosen],
-            "up": up[chosen],
-        }
-    )
+def _merging(level: int, size: int, keep: int, nearly: int):
+    """The step of one level of the tree: the bins of a node's children as items."""
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        node = key[0].as_py()
+        table = table.sort_by([("load", "descending"), ("bin", "ascending")])
+        chosen, offsets, loads = best_fit(table.column("load").to_numpy(), size)
+        up = _upward(loads, size, keep, nearly)
+        n = len(table)
+        return pa.table(
+            {
+                "level": pa.array(np.full(n, level, np.int32)),
+                "node": pa.array(np.full(n, node)),
+                "bin": table.column("bin"),
+                "parent": ((level << 56) | (node << 24)) + chosen,
+                "shift": offsets,
+                "load": loads[chosen],
+                "up": up[chosen],
+            }
+        )
+
+    return merge
 
 
 def pack(parts: DataFrame, size: int = SEQUENCE, node_pieces: int = NODE_PIECES, fan_in: int = FAN_IN, nearly: int = NEARLY_FULL) -> DataFrame:
@@ -163,11 +167,8 @@ def pack(parts: DataFrame, size: int = SEQUENCE, node_pieces: int = NODE_PIECES,
     merged: list[DataFrame] = []
     for level in range(1, levels + 1):
         up = bins.withColumn("node", F.floor(F.col("node") / fan_in).cast("long"))
-
-        def merge(key: tuple, rows: pa.Table, level: int = level) -> pa.Table:
-            return _merge(key, rows, level, size, keep(level), nearly)
-
-        step = staged(up.groupBy("node").applyInArrow(lambda key, rows, f=merge: f(key, rows), BINS))
+        merge = _merging(level, size, keep(level), nearly)
+        step = staged(up.groupBy("node").applyInArrow(merge, BINS))
         merged.append(step)
         bins = step.where("up and shift = 0").select(F.col("parent").alias("bin"), "load", "node")
     # From the root down: where each bin of a level ends up.

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallywork.llm import packing, tokenfile, tokens
+from tallywork.llm import exactdedup, licences, packing, tokenfile, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,3 +47,67 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query(
+    """
+    WITH d AS (
+      SELECT doc_id, length(coalesce(text, '')) AS points,
+             regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents
+    ), g AS (
+      SELECT norm, count(*) AS group_size,
+             first(doc_id ORDER BY points DESC, doc_id) AS keep_id FROM d GROUP BY norm
+    )
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
+    FROM d JOIN g USING (norm)
+    """
+)
+def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exactdedup.exact_groups(table(spark, sf, "documents"))
+
+
+LICENCE_SQL = """
+    WITH known(wording, id) AS (VALUES {wordings}),
+    s AS (
+      SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id ORDER BY line, pos) AS pos FROM (
+        SELECT doc_id, line, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS pos FROM (
+          SELECT doc_id, line, regexp_split_to_array(regexp_replace(t, '([.!?;:])\\s+', '\\1\n', 'g'), '\n') AS parts FROM (
+            SELECT doc_id, unnest(lines) AS t, unnest(range(1, len(lines) + 1)) AS line FROM (
+              SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[\\r\\n]+') AS lines FROM documents))))
+      WHERE trim(part) <> ''
+    ), f AS (
+      SELECT doc_id, pos, id, row_number() OVER w AS k, lead(id, 1) OVER w AS id1, lead(pos, 1) OVER w AS pos1,
+             lead(id, 2) OVER w AS id2, lead(pos, 2) OVER w AS pos2
+      FROM s JOIN known ON wording = regexp_replace(regexp_replace(trim(regexp_replace(lower(part), '\\s+', ' ', 'g')),
+                                     '^[\\s#*/>;-]+', ''), '[\\s.!?;:*/]+$', '')
+      WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+    ), rules(name, a, b, c) AS (VALUES {rules}),
+    m AS (
+      SELECT doc_id, name FROM f JOIN rules ON id = a
+        AND (b IS NULL OR (id1 = b AND pos1 - pos <= 1)) AND (c IS NULL OR (id2 = c AND pos2 - pos1 <= 1))
+    )
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_sentences, coalesce(l.names, '') AS licences, coalesce(l.n, 0) AS n_matches
+    FROM documents d
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY 1) n ON d.doc_id = n.doc_id
+    LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM m GROUP BY 1) l
+      ON d.doc_id = l.doc_id
+"""
+
+
+def _quoted(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def licence_sql() -> str:
+    wordings = ", ".join(f"({_quoted(w)}, {_quoted(n)})" for n, ws in licences.SENTENCES.items() for w in ws)
+    steps = ", ".join(
+        "(" + ", ".join(_quoted(x) for x in (name, *rule, *[None] * (3 - len(rule)))) + ")"
+        for name, rule in licences.RULES
+    )
+    return LICENCE_SQL.format(wordings=wordings, rules=steps)
+
+
+@query(licence_sql())
+def op10_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = licences.recognise(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_sentences", F.array_join("licences", ",").alias("licences"), "n_matches")
