@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm import exactdedup, licences, packing, tokenfile, tokens
+from tallywork.llm import contamination, exactdedup, licences, packing, quality, tokenfile, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,3 +111,55 @@ def licence_sql() -> str:
 def op10_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = licences.recognise(table(spark, sf, "documents"))
     return found.select("doc_id", "n_sentences", F.array_join("licences", ",").alias("licences"), "n_matches")
+
+
+@query(
+    """
+    WITH w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+    ), i AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark
+    ), iw AS (
+      SELECT DISTINCT item_id, n, array_to_string(words[p:p + n - 1], ' ') AS win FROM (
+        SELECT item_id, words, least(13, len(words)) AS n, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS p
+        FROM i WHERE len(words) > 0)
+    ), dw AS (
+      SELECT doc_id, p, n, array_to_string(words[p:p + n - 1], ' ') AS win FROM (
+        SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS p
+        FROM w, (SELECT DISTINCT n FROM iw) WHERE len(words) >= n)
+    ), m AS (SELECT doc_id, p, n, item_id FROM dw JOIN iw USING (n, win)),
+    h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (
+            SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, p, n FROM m)) GROUP BY 1),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (
+            SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM m) GROUP BY 1)
+    SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+    FROM w LEFT JOIN h ON w.doc_id = h.doc_id LEFT JOIN t ON w.doc_id = t.doc_id
+    """
+)
+def op2_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = contamination.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
+        contamination.is_contaminated(F.col("found.n_words"), F.col("found.n_hit")).alias("contaminated"),
+    )
+
+
+@query()
+def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf, "labels"))
+    scored = quality.classify(docs, model).select(F.col("row.doc_id").alias("doc_id"), "score")
+    return scored.select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )

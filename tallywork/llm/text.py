@@ -59,3 +59,37 @@ def slices(data: np.ndarray, buffer: pa.Buffer, starts: np.ndarray, end: int) ->
 def per_row(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Positions in ``starts`` where each row's pieces begin, with the total at the end."""
     return np.searchsorted(starts, offsets, "left")
+
+
+def words(data: np.ndarray, buffer: pa.Buffer, inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
+    """The words of contiguous rows: ``(ends per row, dictionary-encoded words, first word of each row)``.
+
+    ``inside`` tells which of the 256 byte values belong to words. Words never cross rows. The first
+    result counts words before each row's end, with 0 in front.
+    """
+    begin, end = int(offsets[0]), int(offsets[-1])
+    if begin == end:
+        empty = pa.array([], pa.binary()).dictionary_encode()
+        return np.zeros(len(offsets), np.int64), empty, np.zeros(0, bool)
+    member = inside[data[begin:end]]
+    edge = np.ones(end - begin, bool)
+    edge[1:] = member[1:] != member[:-1]
+    rows = offsets[:-1]
+    edge[rows[rows < end] - begin] = True
+    starts = np.flatnonzero(edge)
+    is_word = member[starts]
+    coded = slices(data, buffer, starts + begin, end).dictionary_encode()
+    coded = coded.filter(pa.array(is_word))
+    own = starts[is_word] + begin
+    counts = np.searchsorted(own, offsets, "left")
+    first = np.zeros(len(own), bool)
+    first[counts[:-1][counts[:-1] < len(own)]] = True
+    return counts, coded, first
+
+
+def with_rows(docs, text_col: str = "text"):
+    """Each row as one struct beside its text, so that a task can hand back rows of any columns."""
+    from pyspark.sql import functions as F
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
