@@ -8,19 +8,24 @@ Only texts whose fingerprint counts more than one are compared byte by byte.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywork.llm.text import SPACE, blocks, flat
 from tallywork.session import staged
 
 REMAINDER_BITS = 40  # of a 64-bit fingerprint; the other 24 are the quotient
 SEGMENT_BITS = 8  # a filter travels as runs of slots that share so many leading bits
 BROADCAST_ROWS = 1 << 20  # duplicated fingerprints of 8 bytes each
 
+SUSPECT = "doc_id long, points int, fp long, norm binary"
+EVERY = "every"  # instead of the wanted fingerprints
 SEGMENT = "segment int, quotients binary, runs binary, remainders binary, counts binary"
 
 
@@ -101,37 +106,84 @@ def duplicated(prints: DataFrame) -> DataFrame:
     )
 
 
-def normalised(text: Column) -> Column:
-    """The text without space, tab, line feed, vertical tab, form feed and carriage return."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+", "")
+def _normalised(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    """What identifies each text without its white space; the bytes too, of the ``wanted`` fingerprints."""
+    prints = wanted.value if hasattr(wanted, "value") else None
+    for batch in batches:
+        data, offsets, _ = flat(batch.column("text"))
+        ids, points = batch.column("doc_id"), batch.column("points")
+        for i, j in blocks(offsets):
+            begin, end = int(offsets[i]), int(offsets[j])
+            inside = ~SPACE[data[begin:end]]
+            before = np.append(0, np.cumsum(inside))
+            at = before[offsets[i : j + 1] - begin]
+            kept = data[begin:end][inside].tobytes()
+            view = memoryview(kept)
+            cuts = at.tolist()
+            texts = [view[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+            fp = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), np.uint64, len(texts))
+            if wanted is None:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.slice(i, j - i),
+                        points.slice(i, j - i),
+                        pa.array(fp.view(np.int64)),
+                        pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+                    ],
+                    ["doc_id", "points", "fp", "text_sha256"],
+                )
+                continue
+            if wanted == EVERY:
+                hits = np.arange(len(fp))
+            elif len(prints):
+                place = np.minimum(np.searchsorted(prints, fp), len(prints) - 1)
+                hits = np.flatnonzero(prints[place] == fp)
+            else:
+                hits = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids.slice(i, j - i).take(pa.array(hits)),
+                    points.slice(i, j - i).take(pa.array(hits)),
+                    pa.array(fp[hits].view(np.int64)),
+                    pa.array([bytes(texts[k]) for k in hits.tolist()], pa.binary()),
+                ],
+                ["doc_id", "points", "fp", "norm"],
+            )
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+def exact_groups(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` of every row of ``docs``.
 
     Null texts count as empty, and empty texts equal each other. Of equal texts the row with the
     most code points, then the smallest doc_id (null last) stays. Rows that repeat a doc_id are rows of
     their own; all that tie in length and id with the one that stays are kept. An empty table
     gives no rows. Other columns are ignored.
+
+    The narrow pass runs once and is written. Texts are read again only to compare suspects: their
+    fingerprints go to the readers as a sorted array when they are at most ``broadcast_rows`` (8 bytes
+    each), else by a join.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("norm", normalised(F.col("text")))
+    rows = docs.select(
+        F.col("doc_id").cast("long"),
+        F.coalesce(F.length("text"), F.lit(0)).alias("points"),
+        F.col("text").cast("string").alias("text"),
+    )
     narrow = staged(
-        rows.select(
-            "doc_id",
-            F.length("text").alias("points"),
-            F.xxhash64("norm").alias("fp"),
-            F.sha2("norm", 256).alias("text_sha256"),
+        rows.mapInArrow(
+            lambda batches: _normalised(batches, None), "doc_id long, points int, fp long, text_sha256 string"
         )
     )
     many = staged(duplicated(narrow))
-    hits = many.select(F.col("fp").alias("hit"))
-    if many.count() <= BROADCAST_ROWS:
-        hits = F.broadcast(hits)
+    if many.count() <= broadcast_rows:
+        prints = np.sort(many.select("fp").toArrow().column("fp").to_numpy().view(np.uint64))
+        wanted = docs.sparkSession.sparkContext.broadcast(prints)
+        suspects = rows.mapInArrow(lambda batches: _normalised(batches, wanted), SUSPECT)
+    else:
+        suspects = rows.mapInArrow(lambda batches: _normalised(batches, EVERY), SUSPECT)
+        suspects = suspects.join(many.select("fp"), "fp", "left_semi")
     # Byte verification: equal fingerprints are grouped by the bytes themselves. Copies collapse in
     # the tasks that read them, so a group of any size sends one row a task.
-    suspects = rows.withColumn("fp", F.xxhash64("norm")).join(hits, F.col("fp") == F.col("hit"), "left_semi")
-    best = F.struct((-F.length("text")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    best = F.struct((-F.col("points")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
     groups = suspects.groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best"))
     groups = staged(
         groups.select(

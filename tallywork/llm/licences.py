@@ -7,6 +7,8 @@ identifiers follow each other in the text with at most ``gap`` unknown sentences
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,14 +93,16 @@ def recognise(
     known = sentences or SENTENCES
     chosen = RULES if rules is None else rules
     lookup = {wording: name for name, wordings in known.items() for wording in wordings}
-    # Candidates first: a sentence is normalised only when it holds a word of some known sentence.
+    # A sentence is normalised only when it holds the longest word of some known one.
+    anchors = sorted({max(re.findall(r"[a-z]+", w), key=len, default="") for w in lookup})
+    anchored = "(?i)" + "|".join(anchors)
     split = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), BOUNDARY), lambda s: F.trim(s) != "")
     keys = F.array(*[F.lit(w) for w in lookup])
     names = F.array(*[F.lit(n) for n in lookup.values()])
     longest = max(map(len, lookup), default=0) * 4 + 64
 
     def identify(s: Column, i: Column) -> Column:
-        place = F.when(F.length(s) <= longest, F.array_position(keys, sentence_key(s))).otherwise(F.lit(0))
+        place = F.when((F.length(s) <= longest) & s.rlike(anchored), F.array_position(keys, sentence_key(s))).otherwise(F.lit(0))
         return F.struct((i + 1).alias("at"), F.when(place > 0, F.element_at(names, place.cast("int"))).alias("sentence"))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), split.alias("parts"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm import contamination, exactdedup, licences, packing, quality, tokenfile, tokens
+from tallywork.llm import contamination, exactdedup, licences, packing, quality, tokenfile, tokens, urlmodel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,3 +163,8 @@ def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
         "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return urlmodel.judge(table(spark, sf, "pages"))
