@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm import contamination, exactdedup, licences, packing, quality, tokenfile, tokens, urlmodel
+from tallywork.llm import contamination, exactdedup, jaccard, licences, packing, quality, tokenfile, tokens, urlmodel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,3 +168,8 @@ def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urlmodel.judge(table(spark, sf, "pages"))
+
+
+@query()
+def op3_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf, "documents"))
