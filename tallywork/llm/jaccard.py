@@ -35,7 +35,8 @@ BROADCAST_ROWS = 1 << 20  # ids or shingles of 8 bytes that may be sent to every
 REGION_SHINGLES = 1 << 21  # shingles of all documents of a region that one task joins
 PIVOTS = 16  # of a large region in one round
 CELL = 48  # documents that a leaf compares with each other
-DENSE = 256  # a shingle in one of so many documents of a block may be frequent
+COUNTED = 1 << 22  # shingles that a task counts at once
+DENSE = 10  # regions of shingles in 2 ** DENSE documents or more are formed without gathering them
 BLOCK = 4 << 20  # bytes of text hashed at once
 MARGIN = 1e-9  # for rounding, on the safe side
 
@@ -112,8 +113,10 @@ def window(n: int) -> int:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document; then rows of shingles that are dense in a block."""
+    """A row for each document, and rows of shingles that repeat."""
     names = ["doc_id", "n", "sig_a", "sig_b", "shingle", "times"]
+    held: list[np.ndarray] = []
+    total = 0
     for batch in batches:
         ids = batch.column("doc_id")
         for i, sets in shingle_sets(batch.column("text")):
@@ -129,49 +132,75 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [ids.slice(i, m), pa.array(n), pa.array(sig_a.view(np.int64)), pa.array(sig_b.view(np.int64)), none, none],
                 names,
             )
-            every.sort()
-            first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-            times = np.diff(np.append(first, len(every)))
-            dense = times >= max(8, m / DENSE)
-            none = pa.nulls(int(dense.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(every[first[dense]].view(np.int64)), pa.array(times[dense])], names
-            )
+            held.append(every)
+            total += len(every)
+            if total >= COUNTED:
+                yield _repeated(held, names)
+                held, total = [], 0
+    if held:
+        yield _repeated(held, names)
+
+
+def _repeated(held: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """Rows of the shingles that several documents of a task have."""
+    every = np.sort(np.concatenate(held))
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(every)))
+    many = times > 2
+    none = pa.nulls(int(many.sum()), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [none, none, none, none, pa.array(every[first[many]].view(np.int64)), pa.array(times[many])], names
+    )
+
+
+def frequent_shingles(times: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles and their levels (log2 of their count), of as many upper levels as hold at most ``limit``.
+
+    Any order of shingles gives right results; this one keeps windows off common passages.
+    """
+    counted = times.groupBy("shingle").agg(F.sum("times").alias("times"))
+    counted = staged(counted.withColumn("level", F.floor(F.log2("times")).cast("int")))
+    sizes = {r.level: r.n for r in counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, lowest = 0, 64
+    for level in sorted(sizes, reverse=True):
+        total += sizes[level]
+        if total > limit:
+            break
+        lowest = level
+    got = counted.where(F.col("level") >= lowest).select("shingle", "level").toArrow()
+    values = got.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(values)
+    return values[order], got.column("level").to_numpy().astype(np.uint8)[order]
+
 
+def _entries(batches: Iterator[pa.RecordBatch], frequent, dense: bool) -> Iterator[pa.RecordBatch]:
+    """The regions a document enters: its first shingles, infrequent ones first.
 
-def _entries(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.RecordBatch]:
-    """The regions a document enters: its first shingles, infrequent ones first."""
-    often = frequent.value
+    Gives those of shingles that are ``dense``, or the others.
+    """
+    often, levels = frequent.value
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for i, sets in shingle_sets(batch.column("text")):
-            chosen, heavy = [], []
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             every = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+            level = np.zeros(len(every), np.uint8)
             if len(often):
                 place = np.minimum(np.searchsorted(often, every), len(often) - 1)
                 known = often[place] == every
-            else:
-                known = np.zeros(len(every), bool)
+                level[known] = levels[place[known]]
             at = np.append(0, np.cumsum(sizes)).tolist()
-            widths = [window(n) for n in sizes.tolist()]
-            for own, a, b, w in zip(sets, at[:-1], at[1:], widths):
-                if not w:
-                    continue
-                flag = known[a:b]
-                order = np.concatenate([np.flatnonzero(~flag)[:w], np.flatnonzero(flag)])[:w]
-                chosen.append(own[order])
-                heavy.append(flag[order])
-            repeat = np.array(widths, np.int64)
-            empty = not chosen
+            chosen = []
+            for a, b, n in zip(at[:-1], at[1:], sizes.tolist()):
+                if n:
+                    # Sets are sorted, so a stable order by level is one by level and shingle.
+                    chosen.append(np.argsort(level[a:b], kind="stable")[: window(n)] + a)
+            index = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+            index = index[(level[index] >= DENSE) == dense]
+            owner = np.searchsorted(np.array(at), index, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((np.zeros(0, np.uint64) if empty else np.concatenate(chosen)).view(np.int64)),
-                    pa.array(np.repeat(ids[i : i + len(sets)].astype(np.int64), repeat)),
-                    pa.array(np.repeat(sizes, repeat)),
-                    pa.array(np.zeros(0, bool) if empty else np.concatenate(heavy)),
-                ],
-                ["region", "doc_id", "n", "heavy"],
+                [pa.array(every[index].view(np.int64)), pa.array(ids[i + owner].astype(np.int64)), pa.array(sizes[owner])],
+                ["region", "doc_id", "n"],
             )
 
 
@@ -411,6 +440,17 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], ["a", "b"])
 
 
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("doc_id")
+        for i, sets in shingle_sets(batch.column("text")):
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(i, len(sets)), pa.array(n), pa.array([profile(x) for x in sets], pa.binary())],
+                ["doc_id", "n", "profile"],
+            )
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id")
@@ -419,10 +459,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
             at = np.append(0, np.cumsum(n)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(every.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, len(sets)), pa.array(n), pa.array([profile(x) for x in sets], pa.binary()), lists],
-                ["doc_id", "n", "profile", "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([ids.slice(i, len(sets)), pa.array(n), lists], ["doc_id", "n", "shingles"])
 
 
 def _few(rows: DataFrame, limit: int) -> DataFrame:
@@ -430,16 +467,25 @@ def _few(rows: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= limit else rows
 
 
-def distances(pairs: DataFrame, sets: DataFrame, near_only: bool) -> DataFrame:
-    """``doc_id, pivot, distance, linked`` of distinct pairs, from the documents' sets.
+def chosen_texts(rows: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
+    """The rows of some documents; their ids were written."""
+    return rows.join(_few(ids, limit), "doc_id", "left_semi")
 
-    ``near_only`` leaves out pairs whose profiles, a fraction of the sets, exclude a link.
-    """
-    lean = sets.select("doc_id", "n", "profile")
-    narrow = pairs.join(lean.select("doc_id", F.col("n").alias("nx"), F.col("profile").alias("x")), "doc_id")
-    narrow = narrow.join(lean.select(F.col("doc_id").alias("pivot"), F.col("n").alias("ny"), F.col("profile").alias("y")), "pivot")
-    if near_only:
-        pairs = narrow.select("doc_id", "pivot", "nx", "x", "ny", "y").mapInArrow(_near_pairs, "doc_id long, pivot long").distinct()
+
+def near_pairs(pairs: DataFrame, lean: DataFrame) -> DataFrame:
+    """``doc_id, pivot`` of the pairs whose profiles, a fraction of the sets, allow a link."""
+    met = pairs.join(lean.select("doc_id", F.col("n").alias("nx"), F.col("profile").alias("x")), "doc_id")
+    met = met.join(lean.select(F.col("doc_id").alias("pivot"), F.col("n").alias("ny"), F.col("profile").alias("y")), "pivot")
+    met = met.select("doc_id", "pivot", "nx", "x", "ny", "y")
+    return met.mapInArrow(_near_pairs, "doc_id long, pivot long").distinct()
+
+
+def both_ends(pairs: DataFrame) -> DataFrame:
+    return staged(pairs.select("doc_id").union(pairs.select(F.col("pivot").alias("doc_id"))).distinct())
+
+
+def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``doc_id, pivot, distance, linked`` of distinct pairs, from the documents' sets."""
     left = sets.select("doc_id", F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
@@ -475,7 +521,7 @@ def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     return staged(rows.join(once.select("region", "weight"), "region"))
 
 
-def _split(rows: DataFrame, sets: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
+def _split(rows: DataFrame, sets_of, pivots: int) -> tuple[DataFrame, DataFrame]:
     """Cells of large open regions, and links found.
 
     The components with the fewest documents of a region give a pivot each. A cell holds such a
@@ -489,7 +535,8 @@ def _split(rows: DataFrame, sets: DataFrame, pivots: int) -> tuple[DataFrame, Da
     chosen = staged(top.select("region", "comp", "pivot"))
     cells = chosen.select("region", F.col("comp").alias("cell"), "pivot")
     crossed = rows.select("region", "doc_id", "n", "comp").join(cells, "region")
-    met = staged(distances(crossed.where("doc_id <> pivot").select("doc_id", "pivot").distinct(), sets, False))
+    pairs = staged(crossed.where("doc_id <> pivot").select("doc_id", "pivot").distinct())
+    met = staged(distances(pairs, sets_of(both_ends(pairs))))
     links = met.where("linked").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
     placed = crossed.join(met, ["doc_id", "pivot"])
     radius = placed.where("comp = cell").groupBy("region", "cell").agg(F.max("distance").alias("radius"))
@@ -520,10 +567,8 @@ def near_duplicates(
         rows.mapInArrow(_summaries, "doc_id long, n long, sig_a long, sig_b long, shingle long, times long")
     )
     points = seen.where("n is not null").select("doc_id", "n", "sig_a", "sig_b")
-    often = seen.where("times is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
-    # Any order of shingles gives right results; this keeps frequent ones out of most windows.
-    often = often.orderBy(F.desc("times"), "shingle").limit(broadcast_rows).select("shingle").toArrow()
-    frequent = spark.sparkContext.broadcast(np.sort(often.column(0).to_numpy().view(np.uint64)))
+    times = seen.where("times is not null").select("shingle", "times")
+    frequent = spark.sparkContext.broadcast(frequent_shingles(times, broadcast_rows))
 
     # Equal sets are one point, named by its smallest document.
     named = points.where("n > 0 and doc_id is not null")
@@ -536,23 +581,25 @@ def near_duplicates(
     copies = staged(copies.join(several, "doc_id", "left_anti"))
     single = rows.where("doc_id is not null").join(_few(copies, broadcast_rows), "doc_id", "left_anti")
 
-    entries = single.mapInArrow(
-        lambda batches: _entries(batches, frequent), "region long, doc_id long, n long, heavy boolean"
-    )
-    entries = staged(entries)
+    entry = "region long, doc_id long, n long"
+    light = single.mapInArrow(lambda batches: _entries(batches, frequent, False), entry)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    light = entries.where("not heavy").select("region", "doc_id", "n").repartition(parts, "region")
-    light = light.sortWithinPartitions("region", "doc_id", "n").mapInArrow(_regions, MEMBER)
-    dense = entries.where("heavy").select("region", "doc_id", "n")
+    light = light.repartition(parts, "region").sortWithinPartitions("region", "doc_id", "n").mapInArrow(_regions, MEMBER)
+    # Each task sends one head of a dense region; the rows themselves meet it in a join that Spark can split.
+    dense = staged(single.mapInArrow(lambda batches: _entries(batches, frequent, True), entry))
     heads = dense.groupBy("region").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count(F.lit(1)).alias("size"))
     heads = heads.where("size > 1").select("region", F.col("head.doc_id").alias("pivot"), F.col("head.n").alias("pivot_n"))
     members = staged(light.union(dense.join(heads, "region").select("region", "doc_id", "n", "pivot", "pivot_n")))
 
-    # Sets of the documents that meet another, and their distances to the first pivots.
+    # Profiles of the documents that meet another, and sets of those that may link with a first pivot.
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return staged(chosen_texts(rows, ids, broadcast_rows).mapInArrow(_sets, "doc_id long, n long, shingles array<long>"))
+
     met = staged(members.select("doc_id").distinct())
-    sets = staged(rows.join(_few(met, broadcast_rows), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, profile binary, shingles array<long>"))
-    pairs = members.where((F.col("doc_id") != F.col("pivot")) & reachable("n", "pivot_n"))
-    found = staged(distances(pairs.select("doc_id", "pivot").distinct(), sets, True).where("linked"))
+    lean = staged(chosen_texts(rows, met, broadcast_rows).mapInArrow(_profiles, "doc_id long, n long, profile binary"))
+    pairs = members.where((F.col("doc_id") != F.col("pivot")) & reachable("n", "pivot_n")).select("doc_id", "pivot")
+    pairs = staged(near_pairs(pairs.distinct(), lean))
+    found = staged(distances(pairs, sets_of(both_ends(pairs))).where("linked"))
     comps = merged(met.withColumn("comp", F.col("doc_id")), found.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
 
     todo = members
@@ -561,14 +608,15 @@ def near_duplicates(
         small, large = todo.where(F.col("weight") <= region_shingles), todo.where(F.col("weight") > region_shingles)
         if todo.isEmpty():
             break
-        lean = small.select("region", "doc_id", "comp").join(sets.select("doc_id", "n", "profile"), "doc_id")
-        suspects = _sorted(lean, parts).mapInArrow(_suspects, "region long, doc_id long, n long, comp long")
-        leaves = staged(suspects).join(sets.select("doc_id", "n", "shingles"), ["doc_id", "n"])
+        profiled = small.select("region", "doc_id", "comp").join(lean, "doc_id")
+        suspects = staged(_sorted(profiled, parts).mapInArrow(_suspects, "region long, doc_id long, n long, comp long"))
+        sets = sets_of(staged(suspects.select("doc_id").distinct()))
+        leaves = suspects.join(sets, ["doc_id", "n"])
         links = _sorted(leaves, parts).mapInArrow(_leaves, "a long, b long")
         if large.isEmpty():
             comps = merged(comps, staged(links))
             break
-        todo, more = _split(large, sets, pivots)
+        todo, more = _split(large, sets_of, pivots)
         comps = merged(comps, staged(links.union(more)))
 
     # Documents of a class follow its first; all others stand for themselves.
