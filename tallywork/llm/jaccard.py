@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywork.llm.graph import merged
+from tallywork.llm.graph import few, merged
 from tallywork.llm.text import SPACE, blocks, flat
 from tallywork.session import staged
 
@@ -322,12 +322,25 @@ class Region:
         rest &= ~done
         if rest.any() and apart[~done].any():
             cells.append(members[rest])
+        cells = [own[~np.isin(own, pivots)] for own in cells]
+        if sum(map(len, cells)) > 1.5 * len(members):
+            # Cells overlap too much to be of use: meet from the smaller components outward.
+            self.peel(members, every, at)
+            return
         for own in cells:
-            own = own[~np.isin(own, pivots)]
             if len(own) > 1:
                 # Pivots have met everybody, so each level is smaller by them at least.
                 self.join(own, depth + 1)
 
+    def peel(self, members: np.ndarray, every: np.ndarray, at: np.ndarray) -> None:
+        """Compare everybody outside the largest component with all others."""
+        roots = np.array([self.root(k) for k in members.tolist()])
+        named, sizes = np.unique(roots, return_counts=True)
+        for k in members[roots != named[sizes.argmax()]].tolist():
+            if len({self.root(x) for x in members.tolist()}) < 2:
+                return
+            self.measure(k, members, every, at)
+
 
 def profile(own: np.ndarray) -> bytes:
     """Shingles of a set counted in buckets, one or two in each; at most 255 count.
@@ -462,14 +475,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(i, len(sets)), pa.array(n), lists], ["doc_id", "n", "shingles"])
 
 
-def _few(rows: DataFrame, limit: int) -> DataFrame:
-    """Hint at a broadcast of rows that were written and counted, and are few."""
-    return F.broadcast(rows) if rows.count() <= limit else rows
-
-
 def chosen_texts(rows: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
     """The rows of some documents; their ids were written."""
-    return rows.join(_few(ids, limit), "doc_id", "left_semi")
+    return rows.join(few(ids, limit), "doc_id", "left_semi")
 
 
 def near_pairs(pairs: DataFrame, lean: DataFrame) -> DataFrame:
@@ -507,7 +515,7 @@ def _sorted(rows: DataFrame, parts: int) -> DataFrame:
 
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     """``region, doc_id, n, comp, weight`` of regions with more than one component, each set of members once."""
-    rows = members.select("region", "doc_id", "n").join(comps, "doc_id")
+    rows = members.select("region", "doc_id", "n").join(few(comps), "doc_id")
     mark = F.xxhash64("doc_id")
     stats = rows.groupBy("region").agg(
         F.min("comp").alias("low"),
@@ -518,7 +526,8 @@ def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("mark_b"),
     ).where("low <> high")
     once = stats.groupBy("size", "weight", "mark", "mark_b").agg(F.min("region").alias("region"))
-    return staged(rows.join(once.select("region", "weight"), "region"))
+    once = staged(once.select("region", "weight"))
+    return staged(rows.join(few(once), "region"))
 
 
 def _split(rows: DataFrame, sets_of, pivots: int) -> tuple[DataFrame, DataFrame]:
@@ -579,7 +588,7 @@ def near_duplicates(
     # A document that repeats its id with other texts is kept whole.
     several = points.groupBy("doc_id").agg(F.count_distinct("sig_a").alias("texts")).where("texts > 1").select("doc_id")
     copies = staged(copies.join(several, "doc_id", "left_anti"))
-    single = rows.where("doc_id is not null").join(_few(copies, broadcast_rows), "doc_id", "left_anti")
+    single = rows.where("doc_id is not null").join(few(copies, broadcast_rows), "doc_id", "left_anti")
 
     entry = "region long, doc_id long, n long"
     light = single.mapInArrow(lambda batches: _entries(batches, frequent, False), entry)
@@ -620,10 +629,11 @@ def near_duplicates(
         comps = merged(comps, staged(links.union(more)))
 
     # Documents of a class follow its first; all others stand for themselves.
-    belongs = classes.join(comps, classes["first"] == comps.doc_id, "left").select(
+    belongs = classes.join(few(comps), classes["first"] == comps.doc_id, "left").select(
         "n", "sig_a", "sig_b", F.coalesce("comp", "first").alias("of_class")
     )
-    own = comps.select(F.col("doc_id").alias("own_id"), F.col("comp").alias("own"))
+    own = few(staged(comps.where("doc_id <> comp").select(F.col("doc_id").alias("own_id"), F.col("comp").alias("own"))))
+    belongs = few(staged(belongs))
     result = points.join(belongs, ["n", "sig_a", "sig_b"], "left").join(own, F.col("doc_id") == F.col("own_id"), "left")
     return result.select(
         "doc_id",

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm import contamination, exactdedup, jaccard, licences, packing, quality, tokenfile, tokens, urlmodel
+from tallywork.llm import (
+    contamination,
+    exactdedup,
+    jaccard,
+    licences,
+    packing,
+    quality,
+    tokenfile,
+    tokens,
+    urlmodel,
+    warczip,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -173,3 +184,16 @@ def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op3_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf, "documents"))
+
+
+@query()
+def op6_warc_zip(spark: SparkSession, sf: str) -> DataFrame:
+    folder = warczip.archive_pages(table(spark, sf, "pages"))
+    number = lambda c: F.when(F.col(c) != "None", F.col(c).cast("long"))
+    return warczip.read(spark, folder, with_payload=False).select(
+        number("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
