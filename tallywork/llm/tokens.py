@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallywork.llm.text import SPACE, blocks, flat, per_row, slices
 
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 # Letters, the punctuation that may start a piece, and first bytes of UTF-8
 # sequences that can be white space or combine with what stands before them.
