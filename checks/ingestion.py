@@ -180,7 +180,7 @@ def static_validation(spark, sf):
     )
 )
 def oversized_batches(spark, sf):
-    return ingest.oversized_batches(data.requests(spark, sf), limit=3)
+    return ingest.oversized_batches(data.requests(spark, sf), limit=3).select("request_id", "batch_size")
 
 
 @query(sql("SELECT event_id, meter_code FROM req WHERE meter_code <> 'no.such.meter'", "req"))

@@ -65,10 +65,15 @@ def static_problem() -> Column:
     return F.when(wrong, VALIDATION_FAILED)
 
 
+def requester(rows: DataFrame) -> list[str]:
+    """What tells requests apart: the id and who sent it, as other tenants may use the same id."""
+    return ["request_id", *[c for c in ("tenant_id", "api_key") if c in rows.columns][:1]]
+
+
 def oversized_batches(requests: DataFrame, limit: int = MAX_BATCH) -> DataFrame:
-    """Requests that carry more events than allowed, with their size."""
+    """Requests that carry more events than allowed, with their sender and size."""
     return (
-        requests.groupBy("request_id")
+        requests.groupBy(*requester(requests))
         .agg(F.count(F.lit(1)).alias("batch_size"))
         .filter(F.col("batch_size") > limit)
     )
@@ -80,12 +85,15 @@ def refuse_oversized(rows: DataFrame, limit: int = MAX_BATCH) -> DataFrame:
     For flat rows. Requests that still hold their events as an array are checked
     without a shuffle by :func:`explode_batches`.
     """
-    refused = oversized_batches(rows, limit).select("request_id", F.lit(True).alias("_refused"))
+    keys = requester(rows)
+    refused = oversized_batches(rows, limit).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_refused")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     reason = F.when(F.col("_refused"), VALIDATION_FAILED)
     return (
-        rows.join(refused, "request_id", "left")
+        rows.join(refused, same, "left")
         .withColumn("static_reason", F.coalesce("static_reason", reason))
-        .drop("_refused")
         .select(*rows.columns)
     )
 

@@ -15,6 +15,7 @@ from tallywork.sources.wire import encode_value
 
 # Fixed value: the status of a new invoice.
 GENERATED = "GENERATED"
+DEFAULT_CURRENCY = "AUD"
 
 
 def in_period(charges: DataFrame, period: str | None = None) -> DataFrame:
@@ -31,9 +32,14 @@ def uninvoiced(charges: DataFrame, links: DataFrame, period: str | None = None)
     return in_period(charges, period).join(links.select("charge_id"), "charge_id", "left_anti")
 
 
-def invoice_id(tenant_id: Column, period: Column, run: int) -> Column:
-    """Invoice identifier: the same run repeated gives the same id."""
-    return natural_id(tenant_id, period, F.lit(run))
+def invoice_id(tenant_id: Column, period: Column, run: int, currency: Column) -> Column:
+    """Invoice identifier: the same run repeated gives the same id.
+
+    An invoice in another than the default currency has it in its id.
+    """
+    plain = natural_id(tenant_id, period, F.lit(run))
+    foreign = natural_id(tenant_id, period, F.lit(run), currency)
+    return F.when(currency == DEFAULT_CURRENCY, plain).otherwise(foreign)
 
 
 def invoice_lines(charges: DataFrame) -> DataFrame:
@@ -43,12 +49,23 @@ def invoice_lines(charges: DataFrame) -> DataFrame:
     )
 
 
-def due_invoices(tenants: DataFrame, periods: list[str], currency: str = "AUD") -> DataFrame:
-    """Every tenant with every period of the run; a tenant without charges is invoiced too."""
+def due_invoices(
+    tenants: DataFrame,
+    periods: list[str],
+    currency: str = DEFAULT_CURRENCY,
+    lines: DataFrame | None = None,
+) -> DataFrame:
+    """Every tenant with every period of the run; a tenant without charges is invoiced too.
+
+    With the ``lines`` to invoice, each of their currencies gets an invoice of its own.
+    """
     each = F.explode(F.array(*[F.lit(p) for p in periods]))
-    return tenants.select(
+    due = tenants.select(
         F.col("id").alias("tenant_id"), each.alias("period"), F.lit(currency).alias("currency")
     )
+    if lines is None:
+        return due
+    return due.union(lines.select("tenant_id", "period", "currency")).distinct()
 
 
 def invoices(
@@ -71,7 +88,7 @@ def invoices(
         .withColumn("net_minor", F.coalesce("net", zero))
         .withColumn("tax_minor", gst(F.col("net_minor")))
         .select(
-            invoice_id(F.col("tenant_id"), F.col("period"), run).alias("id"),
+            invoice_id(F.col("tenant_id"), F.col("period"), run, F.col("currency")).alias("id"),
             "tenant_id",
             "period",
             period_start(F.col("period")).alias("period_start"),
@@ -93,7 +110,8 @@ def invoices(
 def charge_links(charges: DataFrame, run: int = 1) -> DataFrame:
     """Which invoice took which charge."""
     return charges.select(
-        "charge_id", invoice_id(F.col("tenant_id"), F.col("period"), run).alias("invoice_id")
+        "charge_id",
+        invoice_id(F.col("tenant_id"), F.col("period"), run, F.col("currency")).alias("invoice_id"),
     )
 
 

@@ -151,10 +151,24 @@ def ladder_violations(tiers: DataFrame) -> DataFrame:
     )
 
 
+def empty_ladders(documents: DataFrame) -> DataFrame:
+    """Meters of a plan whose price has no tier at all. Narrow."""
+    meters = documents.select(
+        "plan_code", F.col("version").alias("plan_version"), F.explode("meters").alias("meter_code", "price")
+    )
+    bare = F.coalesce(F.size("price.tiers"), F.lit(0)) < 1
+    return meters.filter(bare).select(
+        "plan_code", "plan_version", "meter_code", F.lit("empty_ladder").alias("violation")
+    )
+
+
 def checked_models(documents: DataFrame) -> DataFrame:
     """Price models from plan documents, refused as a whole if a ladder is malformed."""
     from tallywork.sources.catalogs import flatten_plans, models_from_documents
 
+    bare = empty_ladders(documents).first()
+    if bare is not None:
+        raise ValueError(f"price without tiers: {bare.asDict()}")
     broken = ladder_violations(flatten_plans(documents)).first()
     if broken is not None:
         raise ValueError(f"malformed price ladder: {broken.asDict()}")

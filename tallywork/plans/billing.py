@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.operators import invoicing, ledger, metering, outbox, posting, rating
+from tallywork.session import staged
 from tallywork.sources.tables import MONTH, TableStore
 
 
@@ -61,99 +62,134 @@ def book_of(charges: DataFrame) -> Book:
     )
 
 
-def post_batch(store: TableStore, charges: DataFrame, batch_id: int, order: str) -> DataFrame:
+POSTING, INVOICING, RELAYING = "posting", "invoicing", "relaying"
+
+
+def content_of(charges: DataFrame) -> str:
+    """What identifies the set of charges of a batch: their number and a hash of their ids."""
+    row = (
+        charges.select("charge_id")
+        .distinct()
+        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("charge_id")), F.lit(0)).alias("h"))
+        .first()
+    )
+    return f"{row.n}:{row.h}"
+
+
+def post_batch(
+    store: TableStore, charges: DataFrame, batch_id: int, order: str, writer: str = POSTING
+) -> DataFrame:
     """Post a batch of charges exactly once and return the outcome per charge id.
 
-    ``order`` names the column by which copies of a charge were delivered. Only
-    the months in the batch are looked up among the posted charges, because a
-    charge id fixes its window. The fresh charges are written first and all other
-    tables derive from that written copy, so a lost executor cannot make them
-    disagree. Nothing is visible before the commit; a retry of the batch
-    overwrites its own part.
+    ``order`` names the column by which copies of a charge were delivered. ``batch_id``
+    numbers the batches of one ``writer``; a number that comes again with the same
+    charges is a retry and answers from what was written, with others it is refused.
+    Charges are staged, then only the months in the batch are looked up among the posted
+    ones, because a charge id fixes its window. The fresh charges are written first
+    and all other tables derive from that written copy, so a lost executor cannot make
+    them disagree. Nothing is visible before the commit; a new try starts over
+    under a name of its own. Balances continue from the last commit, whatever its number.
     """
-    if store.committed(batch_id):
-        return batch_outcomes(store, charges, batch_id)
-
+    charges = staged(charges)
+    content = content_of(charges)
+    done = store.committed(writer, batch_id)
+    if done is not None:
+        if done.content != content:
+            raise ValueError(f"batch {batch_id} of {writer} was posted with other charges")
+        return batch_outcomes(store, charges, done.attempt)
+
+    attempt = store.begin()
     month = F.date_format(F.col("window.start"), "yyyy-MM")
     months = [r[0] for r in charges.select(month.alias("m")).distinct().collect()]
     posted = store.read("billed_charge", months).select("charge_id")
     now = F.current_timestamp().alias("created_at")
     fresh = posting.new_charges(charges, order, posted)
-    store.write("billed_charge", posting.billed_charges(fresh).select("*", now), batch_id)
-    written = store.read_batch("billed_charge", batch_id)
+    store.write("billed_charge", posting.billed_charges(fresh).select("*", now), attempt)
+    written = store.read_attempt("billed_charge", attempt)
     booked = written.withColumn(
         "window", F.struct(F.col("window_start").alias("start"), F.col("window_end").alias("end"))
     )
 
-    store.write("ledger_transaction", posting.transaction_headers(booked), batch_id)
+    store.write("ledger_transaction", posting.transaction_headers(booked), attempt)
     entries = posting.to_entries(posting.posting_lines(booked)).withColumn("created_at", now)
-    store.write("ledger_entry", entries, batch_id)
-    new_entries = store.read_batch("ledger_entry", batch_id)
+    store.write("ledger_entry", entries, attempt)
+    new_entries = store.read_attempt("ledger_entry", attempt)
     accounts = posting.needed_accounts(new_entries, store.read("ledger_account"))
-    store.write("ledger_account", accounts.select("*", now), batch_id)
+    store.write("ledger_account", accounts.select("*", now), attempt)
 
-    previous = snapshot(store, store.last_posted(before=batch_id))
+    previous = snapshot(store, store.last_posted())
     after = ledger.apply_deltas(previous, ledger.balance_deltas(new_entries))
-    store.write("account_balance", after.withColumn("updated_at", F.current_timestamp()), batch_id)
-    store.commit(batch_id, posted=True)
-    return batch_outcomes(store, charges, batch_id)
+    store.write("account_balance", after.withColumn("updated_at", F.current_timestamp()), attempt)
+    store.commit(writer, batch_id, attempt, posted=True, content=content)
+    return batch_outcomes(store, charges, attempt)
 
 
-def batch_outcomes(store: TableStore, charges: DataFrame, batch_id: int) -> DataFrame:
+def batch_outcomes(store: TableStore, charges: DataFrame, attempt: str) -> DataFrame:
     """Outcome per charge id of a committed batch: what it did not write was a duplicate."""
-    own = store.read_batch("billed_charge", batch_id).select("charge_id")
+    own = store.read_attempt("billed_charge", attempt).select("charge_id")
     earlier = charges.select("charge_id").distinct().join(own, "charge_id", "left_anti")
     return posting.post_outcomes(charges, earlier)
 
 
-def snapshot(store: TableStore, batch_id: int | None) -> DataFrame:
-    """The account balances as of a committed batch."""
-    return store.read_batch("account_balance", -1 if batch_id is None else batch_id)
+def snapshot(store: TableStore, attempt: str | None) -> DataFrame:
+    """The account balances as an attempt left them."""
+    return store.read_attempt("account_balance", attempt or "none")
 
 
 def invoice_run(store: TableStore, period: str, batch_id: int, run: int = 1) -> DataFrame:
     """Invoice every tenant for a period and return the headers.
 
-    Headers, lines, charge links and outbox rows belong to one batch and become
-    visible together.
+    A tenant gets an invoice for each currency of its open charges, and one in the
+    default currency in any case. Headers, lines, charge links and outbox rows
+    belong to one batch and become visible together.
     """
-    if not store.committed(batch_id):
-        charges = invoicing.uninvoiced(
+    done = store.committed(INVOICING, batch_id)
+    if done is not None:
+        return store.read_attempt("invoice", done.attempt)
+    attempt = store.begin()
+    charges = staged(
+        invoicing.uninvoiced(
             store.read("billed_charge", [period]),
             store.read("invoice_charge_link", [period]),
             period,
         )
-        links = invoicing.charge_links(charges, run).withColumn(MONTH, F.lit(period))
-        store.write("invoice_charge_link", links, batch_id)
-        taken = store.read("billed_charge", [period]).join(
-            store.read_batch("invoice_charge_link", batch_id).select("charge_id"),
-            "charge_id",
-            "left_semi",
-        )
-        lines = invoicing.invoice_lines(invoicing.in_period(taken, period))
-        due = invoicing.due_invoices(store.read("tenant"), [period])
-        headers = invoicing.invoices(lines, due, run)
-        now = F.current_timestamp()
-        store.write("invoice", headers.withColumn("created_at", now), batch_id)
-        stored_id = invoicing.invoice_id(F.col("tenant_id"), F.col("period"), run)
-        store.write("invoice_line", lines.withColumn("invoice_id", stored_id), batch_id)
-        announced = outbox.outbox_rows(invoicing.invoice_events(headers))
-        store.write("outbox", announced.withColumn("created_at", now), batch_id)
-        store.commit(batch_id)
-    return store.read_batch("invoice", batch_id)
+    )
+    links = invoicing.charge_links(charges, run).withColumn(MONTH, F.lit(period))
+    store.write("invoice_charge_link", links, attempt)
+    lines = staged(invoicing.invoice_lines(charges))
+    due = invoicing.due_invoices(store.read("tenant"), [period], lines=lines)
+    headers = staged(invoicing.invoices(lines, due, run))
+    now = F.current_timestamp()
+    store.write("invoice", headers.withColumn("created_at", now), attempt)
+    stored_id = invoicing.invoice_id(F.col("tenant_id"), F.col("period"), run, F.col("currency"))
+    store.write("invoice_line", lines.withColumn("invoice_id", stored_id), attempt)
+    announced = outbox.outbox_rows(invoicing.invoice_events(headers))
+    store.write("outbox", announced.withColumn("created_at", now), attempt)
+    store.commit(INVOICING, batch_id, attempt)
+    return store.read_attempt("invoice", attempt)
 
 
 def relay_run(store: TableStore, send, batch_id: int) -> int:
-    """Send one relay batch of pending outbox rows with ``send`` and log them as published.
+    """Send all pending outbox rows, a relay batch at a time, and log them as published.
 
-    The log is written after sending: a failure in between sends the rows again,
-    never loses them.
+    Each relay batch is staged, sent, logged and committed before the next one, so a
+    failure in between sends the rows of one batch again and never loses any. A
+    run that is done isn't repeated. Returns how many rows the run has sent.
     """
-    rows = outbox.pending(store.read("outbox"), store.read("published_log"))
-    send(outbox.messages(rows))
-    store.write("published_log", outbox.published_log(rows), batch_id)
-    store.commit(batch_id)
-    return store.read_batch("published_log", batch_id).count()
+    parts = f"{RELAYING}-{batch_id}"
+    while store.committed(RELAYING, batch_id) is None:
+        rows = staged(outbox.pending(store.read("outbox"), store.read("published_log")))
+        attempt = store.begin()
+        if rows.isEmpty():
+            store.commit(RELAYING, batch_id, attempt)
+            break
+        send(outbox.messages(rows))
+        store.write("published_log", outbox.published_log(rows), attempt)
+        sent = store.commits().filter(F.col("writer") == parts).count()
+        store.commit(parts, sent, attempt)
+    own = store.commits().filter(F.col("writer") == parts).select("attempt")
+    logs = store.read_attempts("published_log")
+    return logs.join(own, "attempt", "left_semi").count()
 
 
 def verify_store(store: TableStore) -> DataFrame:

@@ -1,25 +1,39 @@
-"""Ledger tables as parquet, written one batch at a time and made visible by a commit.
-
-Layout: ``<root>/<table>/billing_month=YYYY-MM/batch_id=N`` for tables that carry
-a month, ``<root>/<table>/batch_id=N`` otherwise, and one commit row per
-finished batch under ``<root>/_commits``. A batch that fails half way leaves no
-commit and is invisible; its retry overwrites the same directories. One writer
-per ledger.
+"""Ledger tables as parquet, written one attempt at a time and made visible by a commit.
+
+Layout: ``<root>/<table>/billing_month=YYYY-MM/attempt=A`` for tables that carry
+a month, ``<root>/<table>/attempt=A`` otherwise, and one commit row per finished
+batch under ``<root>/_commits``. A batch is named by its writer and a number, so
+posting, invoicing and relaying have numbers of their own. Every try of a batch
+writes under a new attempt; the commit names the one that counts, and what
+a failed try left stays invisible for good. Commits are numbered in the order
+they were made. One process writes to a ledger at a time.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywork import schemas
 
 MONTH = "billing_month"
-BATCH = "batch_id"
+ATTEMPT = "attempt"
+
+COMMIT = T.StructType(
+    [
+        T.StructField("seq", T.LongType()),
+        T.StructField("writer", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+        T.StructField(ATTEMPT, T.StringType()),
+        T.StructField("posted", T.BooleanType()),
+        T.StructField("content", T.StringType()),
+    ]
+)
 
 TABLES: dict[str, T.StructType] = {
     "tenant": schemas.TENANT,
@@ -48,7 +62,7 @@ class TableStore:
         fields = list(TABLES[table].fields)
         if table in BY_MONTH:
             fields.append(T.StructField(MONTH, T.StringType()))
-        fields.append(T.StructField(BATCH, T.LongType()))
+        fields.append(T.StructField(ATTEMPT, T.StringType()))
         return T.StructType(fields)
 
     def _read(self, path: str, schema: T.StructType) -> DataFrame:
@@ -61,49 +75,53 @@ class TableStore:
 
     def commits(self) -> DataFrame:
         """One row per visible batch; ``posted`` marks those that left a balance snapshot."""
-        schema = T.StructType(
-            [T.StructField(BATCH, T.LongType()), T.StructField("posted", T.BooleanType())]
-        )
-        return self._read(f"{self.root}/_commits", schema).select(BATCH, "posted")
+        return self._read(f"{self.root}/_commits", COMMIT).select(*COMMIT.names)
+
+    def committed(self, writer: str, batch_id: int) -> Row | None:
+        """The commit of a writer's batch, if it was made."""
+        mine = (F.col("writer") == writer) & (F.col("batch_id") == batch_id)
+        return self.commits().filter(mine).first()
 
-    def committed(self, batch_id: int) -> bool:
-        return not self.commits().filter(F.col(BATCH) == batch_id).isEmpty()
+    def begin(self) -> str:
+        """The name of a new try."""
+        return uuid.uuid4().hex
 
-    def last_posted(self, before: int | None = None) -> int | None:
-        """The newest batch with a balance snapshot."""
-        commits = self.commits().filter("posted")
-        if before is not None:
-            commits = commits.filter(F.col(BATCH) < before)
-        return commits.agg(F.max(BATCH)).first()[0]
+    def last_posted(self) -> str | None:
+        """The attempt that left the newest balance snapshot, by order of commit."""
+        posted = self.commits().filter("posted")
+        return posted.agg(F.max_by(ATTEMPT, "seq")).first()[0]
 
     def read(self, table: str, months: Iterable[str] | None = None) -> DataFrame:
         """Committed rows. ``months`` prunes partitions of the tables laid out by month."""
         rows = self._read(f"{self.root}/{table}", self._schema(table))
         if months is not None and table in BY_MONTH:
             rows = rows.filter(F.col(MONTH).isin(list(months)))
-        return rows.join(self.commits().select(BATCH), BATCH, "left_semi").drop(BATCH)
+        return rows.join(self.commits().select(ATTEMPT), ATTEMPT, "left_semi").drop(ATTEMPT)
 
-    def read_batch(self, table: str, batch_id: int) -> DataFrame:
-        """Rows of one batch, committed or not; for the writer itself."""
-        rows = self._read(f"{self.root}/{table}", self._schema(table))
-        return rows.filter(F.col(BATCH) == batch_id).drop(BATCH)
+    def read_attempts(self, table: str) -> DataFrame:
+        """All rows with the attempt that wrote them, committed or not."""
+        return self._read(f"{self.root}/{table}", self._schema(table))
+
+    def read_attempt(self, table: str, attempt: str | None) -> DataFrame:
+        """Rows of one attempt, committed or not; for the writer itself."""
+        return self.read_attempts(table).filter(F.col(ATTEMPT) == attempt).drop(ATTEMPT)
 
-    def write(self, table: str, rows: DataFrame, batch_id: int) -> None:
-        """Write or rewrite the part of ``table`` that belongs to ``batch_id``."""
-        names = [f.name for f in self._schema(table).fields if f.name != BATCH]
-        keys = [MONTH, BATCH] if table in BY_MONTH else [BATCH]
+    def write(self, table: str, rows: DataFrame, attempt: str) -> None:
+        """Write the part of ``table`` that belongs to an attempt."""
+        names = [f.name for f in self._schema(table).fields if f.name != ATTEMPT]
+        keys = [MONTH, ATTEMPT] if table in BY_MONTH else [ATTEMPT]
         columns = [F.col(n).cast(self._schema(table)[n].dataType).alias(n) for n in names]
         (
-            rows.select(*columns, F.lit(batch_id).cast("bigint").alias(BATCH))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
+            rows.select(*columns, F.lit(attempt).alias(ATTEMPT))
+            .write.mode("append")
             .partitionBy(*keys)
             .parquet(f"{self.root}/{table}")
         )
 
-    def commit(self, batch_id: int, posted: bool = False) -> None:
-        """Make the batch visible; the last step of a run."""
-        row = self.spark.range(1).select(
-            F.lit(batch_id).cast("bigint").alias(BATCH), F.lit(posted).alias("posted")
-        )
-        row.write.mode("overwrite").parquet(f"{self.root}/_commits/part={batch_id}")
+    def commit(
+        self, writer: str, batch_id: int, attempt: str, posted: bool = False, content: str = ""
+    ) -> None:
+        """Make the attempt visible; the last step of a run. A number is committed once."""
+        seq = self.commits().agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+        row = self.spark.createDataFrame([(seq, writer, batch_id, attempt, posted, content)], COMMIT)
+        row.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/_commits/part={seq}")

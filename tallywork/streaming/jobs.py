@@ -83,11 +83,16 @@ def to_topic(rows: DataFrame, schema, key: str = "tenant_id") -> DataFrame:
     return wire.encode(rows, schema, key)
 
 
-def post_charges(charges: DataFrame, store: TableStore, checkpoint: str) -> DataStreamWriter:
+def post_charges(
+    charges: DataFrame, store: TableStore, checkpoint: str, order: str | None = None
+) -> DataStreamWriter:
     """Post a stream of charges to the ledger, one ledger batch per micro-batch.
 
     Delivery to ``foreachBatch`` is at least once; posting is idempotent by batch
-    and by charge id, so the ledger sees each charge once.
+    and by charge id, so the ledger sees each charge once. The stream's checkpoint
+    names the writer, so streams don't share batch numbers. ``order`` is the column by which
+    copies were delivered, such as the topic's offset; without one, the order of
+    rows in the micro-batch stands for it.
     """
 
     checkpoint_dir(store.spark)
@@ -95,9 +100,10 @@ def post_charges(charges: DataFrame, store: TableStore, checkpoint: str) -> Data
     def post(batch: DataFrame, batch_id: int) -> None:
         # Posting reads the batch more than once; the checkpoint runs its plan, and
         # the state operators in it, only once.
-        ordered = batch.withColumn("delivery", F.xxhash64("charge_id", "amount_minor")).checkpoint()
+        came = F.col(order) if order else F.monotonically_increasing_id()
+        ordered = batch.withColumn("delivery", came).checkpoint()
         if not ordered.isEmpty():
-            post_batch(store, ordered, batch_id, "delivery")
+            post_batch(store, ordered, batch_id, "delivery", writer=f"stream:{checkpoint}")
 
     return charges.writeStream.foreachBatch(post).option("checkpointLocation", checkpoint)
 

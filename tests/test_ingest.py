@@ -211,3 +211,12 @@ def test_quiet_tenants_are_not_simulated(spark):
     ).select("tenant_id", "request_id", F.timestamp_micros("us").alias("received_at"), "tokens")
     slots = ratelimit.contested_slots(df, bucket)
     assert {r.tenant_id for r in slots.select("tenant_id").collect()} == {"loud"}
+
+
+def test_requests_of_other_senders_may_share_an_id(spark):
+    rows = spark.createDataFrame(
+        [("r", "a", k, None) for k in range(3)] + [("r", "b", 9, None), ("r", None, 10, None)],
+        "request_id string, tenant_id string, n int, static_reason string",
+    )
+    refused = ingest.refuse_oversized(rows, 2).filter("static_reason is not null")
+    assert {(r.tenant_id, r.n) for r in refused.collect()} == {("a", 0), ("a", 1), ("a", 2)}

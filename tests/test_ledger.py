@@ -142,8 +142,9 @@ def test_rounding_difference_between_ledger_and_invoice(charges):
 def store(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "ledger"))
     tenants = catalogs.tenants(spark, standard.TENANT_NAMES, standard.TENANT_PLANS)
-    store.write("tenant", tenants.withColumn("created_at", F.current_timestamp()), 0)
-    store.commit(0)
+    attempt = store.begin()
+    store.write("tenant", tenants.withColumn("created_at", F.current_timestamp()), attempt)
+    store.commit("loading", 0, attempt)
     return store
 
 
@@ -171,7 +172,7 @@ def test_posting_is_idempotent(store, charges):
 
 
 def test_uncommitted_batch_is_invisible_and_its_retry_overwrites(store, charges, monkeypatch):
-    def lose(batch_id, posted=False):
+    def lose(*_, **__):
         raise OSError("lost")
 
     batch = delivered(charges, (A, ACME, METER, 1, 100, 0))
@@ -187,7 +188,7 @@ def test_uncommitted_batch_is_invisible_and_its_retry_overwrites(store, charges,
 def test_drift_is_found(store, charges):
     post_batch(store, delivered(charges, (A, ACME, METER, 1, 100, 0)), 1, "seq")
     accounts = store.read("ledger_account")
-    wrong = store.read_batch("account_balance", 1).withColumn(
+    wrong = store.read("account_balance").withColumn(
         "balance_minor", F.col("balance_minor") + 1
     )
     report = ledger.verify(
@@ -224,6 +225,79 @@ def test_invoice_run_and_outbox(store, charges):
     assert verify_store(store).filter("not all_match").isEmpty()
 
 
+def test_batch_numbers_belong_to_a_writer(store, charges):
+    post_batch(store, delivered(charges, (A, ACME, METER, 1, 100, 0)), 0, "seq")
+    invoice_run(store, "2026-07", 0)
+    other = delivered(charges, (B, ACME, METER, 1, 50, 0))
+    assert outcomes(post_batch(store, other, 0, "seq", writer="stream:x")) == {B: (1, 0)}
+    assert store.read("billed_charge").count() == 2
+    with pytest.raises(ValueError, match="other charges"):
+        post_batch(store, delivered(charges, (C, ACME, METER, 1, 1, 0)), 0, "seq")
+    assert verify_store(store).filter("not all_match").isEmpty()
+
+
+def test_a_failed_try_leaves_nothing(store, charges, monkeypatch):
+    monkeypatch.setattr(store, "commit", lambda *_, **__: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        post_batch(store, delivered(charges, (A, ACME, METER, 1, 999, 0), (B, ACME, METER, 1, 5, 40)), 1, "seq")
+    monkeypatch.undo()
+    post_batch(store, delivered(charges, (B, ACME, METER, 1, 5, 40)), 1, "seq")
+    assert [r.charge_id for r in store.read("billed_charge").collect()] == [B]
+    assert store.read("ledger_entry").count() == 3
+    assert verify_store(store).filter("not all_match").isEmpty()
+
+
+def test_batches_may_come_out_of_order(store, charges):
+    post_batch(store, delivered(charges, (A, ACME, METER, 1, 100, 0)), 5, "seq")
+    post_batch(store, delivered(charges, (B, ACME, METER, 1, 30, 0)), 3, "seq")
+    post_batch(store, delivered(charges, (C, ACME, METER, 1, 7, 0)), 4, "seq")
+    assert verify_store(store).filter("not all_match").isEmpty()
+
+
+def test_each_currency_is_invoiced(store, charges):
+    both = delivered(charges, (A, ACME, METER, 1, 100, 0), (B, ACME, METER, 1, 700, 0)).withColumn(
+        "currency", F.when(F.col("charge_id") == B, "NZD").otherwise(F.col("currency"))
+    )
+    post_batch(store, both, 1, "seq")
+    headers = {(r.tenant_id, r.currency): r for r in invoice_run(store, "2026-07", 1).collect()}
+    assert headers[ACME, "AUD"].total_minor == 110 and headers[ACME, "NZD"].total_minor == 770
+    links = {r.charge_id: r.invoice_id for r in store.read("invoice_charge_link").collect()}
+    assert links == {A: headers[ACME, "AUD"].id, B: headers[ACME, "NZD"].id}
+    assert {(r.invoice_id, r.currency) for r in store.read("invoice_line").collect()} == {
+        (headers[ACME, c].id, c) for c in ("AUD", "NZD")
+    }
+
+
+def test_relay_drains_the_outbox_once(store, spark):
+    rows = spark.range(250).select(
+        F.format_string("%03d", "id").alias("id"), F.lit(ACME).alias("tenant_id"),
+        F.lit("invoice").alias("aggregate_type"), F.col("id").cast("string").alias("aggregate_id"),
+        F.lit("invoice.created").alias("event_type"), F.lit("{}").alias("payload"),
+        F.current_timestamp().alias("created_at"),
+    )
+    attempt = store.begin()
+    store.write("outbox", rows, attempt)
+    store.commit("loading", 1, attempt)
+    sizes, keys = [], []
+
+    def send(batch):
+        got = [r.key for r in batch.collect()]
+        if len(sizes) == 1 and not keys[100:]:
+            keys.append("broken")
+            raise OSError("broker is away")
+        sizes.append(len(got))
+        keys.extend(got)
+
+    with pytest.raises(OSError):
+        relay_run(store, send, 1)
+    keys.remove("broken")
+    keys.append("")
+    assert relay_run(store, send, 1) == 250 and sizes == [100, 100, 50]
+    assert relay_run(store, send, 1) == 250 and sizes == [100, 100, 50]
+    assert relay_run(store, send, 2) == 0
+    assert len(set(keys) - {""}) == 250 and store.read("published_log").count() == 250
+
+
 def test_relay_takes_the_oldest_first(spark):
     rows = spark.createDataFrame(
         [(f"{i:03d}", 500 - i) for i in range(150)], "id string, created_at int"

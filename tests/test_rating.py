@@ -155,3 +155,11 @@ def test_small_catalogs_are_broadcast_and_metering_shuffles_once(events, meters,
     plan_text = df._jdf.queryExecution().executedPlan().toString()
     assert plan_text.count("Exchange hashpartitioning") == 1
     assert "SortMergeJoin" not in plan_text and "Python" not in plan_text
+
+
+def test_price_without_tiers_is_refused(spark):
+    bare = [{"plan_code": "p", "version": 1, "currency": "AUD", "meters": {"m": {"type": "TIERED", "tiers": []}}}]
+    documents = spark.createDataFrame(bare, catalogs.PLAN_DOCUMENT)
+    assert [r.violation for r in rating.empty_ladders(documents).collect()] == ["empty_ladder"]
+    with pytest.raises(ValueError, match="without tiers"):
+        rating.checked_models(documents)

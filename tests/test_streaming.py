@@ -174,8 +174,9 @@ def test_requests_are_admitted_or_refused(spark, feed, meters, tmp_path):
 def test_events_to_ledger(spark, feed, meters, tenant_plan, models, tmp_path):
     store = TableStore(spark, str(tmp_path / "ledger"))
     tenants = catalogs.tenants(spark, standard.TENANT_NAMES, standard.TENANT_PLANS)
-    store.write("tenant", tenants.withColumn("created_at", F.current_timestamp()), -1)
-    store.commit(-1)
+    attempt = store.begin()
+    store.write("tenant", tenants.withColumn("created_at", F.current_timestamp()), attempt)
+    store.commit("loading", 0, attempt)
     feed.add(event("a", 10, 1_500_000), event("b", 11, 5000, tenant=GLOBEX))
     feed.add(event("c", 200, 1, "zzz"))
     feed.add(event("d", 201, 1, "zzz"))
