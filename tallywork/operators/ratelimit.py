@@ -11,8 +11,9 @@ to one task:
    simulated, starting two slots early, by when the bucket has been full.
 2. Those requests are cut into time chunks. For each chunk one pass works out
    the level left behind as a function of the level found, without knowing it.
-   The functions of a tenant are then chained, which is one short row list per
-   chunk.
+   The functions of a tenant are then chained. A function grows by about one piece
+   a request while the bucket is short; at 64 pieces it is written out and the next
+   one begun, so the work per request is bounded however long an overload lasts.
 3. A second pass over the chunks, now with known levels, decides each request.
 
 Levels are whole numbers of 1/period-microsecond tokens, so no rounding occurs.
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 
 from tallywork.functions.windows import epoch_slot, micros
 
-PIECES = "tenant_id string, chunk bigint, first_us bigint, last_us bigint, pieces array<array<bigint>>"
+# A function is written out when it has so many pieces. Changes no decision.
+MAX_PIECES = 64
+
+PIECES = "tenant_id string, chunk bigint, part bigint, first_us bigint, last_us bigint, pieces array<array<bigint>>"
 LEVELS = "tenant_id string, chunk bigint, level bigint"
 DECISIONS = "tenant_id string, request_id string, granted boolean"
 
@@ -101,12 +105,13 @@ def _apply_pieces(pieces, level: int) -> int:
 
 
 def _chunk_functions(bucket: Bucket):
-    """Per chunk: the level left behind as a function of the level found."""
+    """Per part of a chunk: the level left behind as a function of the level found."""
+    columns = ["tenant_id", "chunk", "part", "first_us", "last_us", "pieces"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = None
         pieces: list = []
-        first = last = 0
+        part = first = last = 0
         for batch in batches:
             done = []
             for tenant, chunk, at, tokens in zip(
@@ -114,22 +119,21 @@ def _chunk_functions(bucket: Bucket):
             ):
                 if (tenant, chunk) != current:
                     if current is not None:
-                        done.append((*current, first, last, pieces))
-                    current, first, last = (tenant, chunk), at, at
+                        done.append((*current, part, first, last, pieces))
+                    current, part, first, last = (tenant, chunk), 0, at, at
+                    pieces = [[0, bucket.full, 1, 0]]
+                elif len(pieces) >= MAX_PIECES:
+                    done.append((*current, part, first, last, pieces))
+                    part, first, last = part + 1, at, at
                     pieces = [[0, bucket.full, 1, 0]]
                 elif at > last:
                     pieces = _refill_pieces(pieces, (at - last) * bucket.refill, bucket.full)
                     last = at
                 pieces = _spend_pieces(pieces, tokens * bucket.unit)
             if done:
-                yield pd.DataFrame(
-                    done, columns=["tenant_id", "chunk", "first_us", "last_us", "pieces"]
-                )
+                yield pd.DataFrame(done, columns=columns)
         if current is not None:
-            yield pd.DataFrame(
-                [(*current, first, last, pieces)],
-                columns=["tenant_id", "chunk", "first_us", "last_us", "pieces"],
-            )
+            yield pd.DataFrame([(*current, part, first, last, pieces)], columns=columns)
 
     return run
 
@@ -150,7 +154,8 @@ def _chain_chunks(bucket: Bucket):
                     level = bucket.refilled(level, first_us - last)
                 found.append(level)
                 level, last = _apply_pieces(pieces, level), last_us
-            yield batch[["tenant_id", "chunk"]].assign(level=found)
+            opens = batch["part"] == 0
+            yield batch[["tenant_id", "chunk"]].assign(level=found)[opens]
 
     return run
 
@@ -205,8 +210,8 @@ def contested_slots(requests: DataFrame, bucket: Bucket) -> DataFrame:
 def simulate(requests: DataFrame, bucket: Bucket, chunk_slots: int = 64) -> DataFrame:
     """Exact decision for every request, by chunks of ``chunk_slots`` refill times.
 
-    The functions emitted for a tenant number one per chunk in which it was
-    active, however many requests a chunk holds.
+    A tenant's chain has a row per chunk in which it was active, and one more for
+    every ``MAX_PIECES`` requests, about, that an overload adds to a chunk.
     """
     rows = requests.select(
         "tenant_id",
@@ -223,7 +228,7 @@ def simulate(requests: DataFrame, bucket: Bucket, chunk_slots: int = 64) -> Data
     )
     levels = (
         functions.repartition("tenant_id")
-        .sortWithinPartitions("tenant_id", "chunk")
+        .sortWithinPartitions("tenant_id", "chunk", "part")
         .mapInPandas(_chain_chunks(bucket), LEVELS)
     )
     opening = levels.select(

@@ -8,11 +8,12 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tallywork import schemas
 from tallywork.operators import ingest, metering, outbox, posting, rating
+from tallywork.operators.ratelimit import Bucket
 from tallywork.plans.billing import post_batch
 from tallywork.session import checkpoint_dir
 from tallywork.sources import wire
 from tallywork.sources.tables import TableStore
-from tallywork.streaming.state import stream_duplicates
+from tallywork.streaming.state import stream_duplicates, stream_gate
 
 
 def usage_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -20,36 +21,60 @@ def usage_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return wire.decode(raw, schemas.USAGE_EVENT)
 
 
+def gated(
+    requests: DataFrame,
+    keys: DataFrame,
+    meters: DataFrame,
+    disorder: str = "10 minutes",
+    bucket: Bucket = Bucket(),
+    max_batch: int = ingest.MAX_BATCH,
+) -> DataFrame:
+    """Requests of known tenants with the reasons for which a check refuses them, if any."""
+    checked = ingest.validate(requests, keys, meters).filter(F.col("tenant_id").isNotNull())
+    return stream_gate(checked.withWatermark("received_at", disorder), bucket, max_batch)
+
+
+REASONS = ["static_reason", "gate_reason", "business_reason"]
+
+
 def admitted(
     requests: DataFrame,
     keys: DataFrame,
     meters: DataFrame,
     disorder: str = "10 minutes",
     ttl: str = ingest.DEDUP_TTL,
+    bucket: Bucket = Bucket(),
+    max_batch: int = ingest.MAX_BATCH,
 ) -> DataFrame:
     """Accepted usage events of a stream of requests, ready for the topic.
 
-    The checks are those of the batch job: tenant, validation, deduplication.
-    The watermark follows arrival, not occurrence, so an event that occurred long
-    ago is still admitted; ``disorder`` is how far arrival times may be out of
-    order between partitions of the source.
+    The checks are those of the batch job: tenant, validation, batch size, rate
+    limit, deduplication. The watermark follows arrival, not occurrence, so an event
+    that occurred long ago is still admitted; ``disorder`` is how far arrival times
+    may be out of order between partitions of the source.
     """
-    checked = ingest.validate(requests, keys, meters)
-    clean = checked.filter(
-        F.col("static_reason").isNull() & F.col("business_reason").isNull()
-    ).drop("static_reason", "business_reason")
-    timed = clean.withWatermark("received_at", disorder)
-    return ingest.stamp(stream_duplicates(timed, "received_at", ttl))
+    checked = gated(requests, keys, meters, disorder, bucket, max_batch)
+    clean = checked.filter(F.coalesce(*REASONS).isNull()).drop(*REASONS)
+    return ingest.stamp(stream_duplicates(clean, "received_at", ttl))
 
 
-def refused(requests: DataFrame, keys: DataFrame, meters: DataFrame) -> DataFrame:
+def refused(
+    requests: DataFrame,
+    keys: DataFrame,
+    meters: DataFrame,
+    disorder: str = "10 minutes",
+    bucket: Bucket = Bucket(),
+    max_batch: int = ingest.MAX_BATCH,
+) -> DataFrame:
     """The rest of such a stream: requests that fail a check, with the reason."""
-    checked = ingest.validate(requests, keys, meters)
-    reason = F.coalesce("static_reason", "business_reason")
+    nobody = ingest.validate(requests, keys, meters).filter(F.col("tenant_id").isNull())
+    unknown = nobody.withColumn("gate_reason", F.lit(None).cast("string"))
     return (
-        checked.withColumn("reject_reason", reason)
+        gated(requests, keys, meters, disorder, bucket, max_batch)
+        .unionByName(unknown)
+        .withColumn("reject_reason", F.coalesce(*REASONS))
         .filter(F.col("reject_reason").isNotNull())
-        .drop("static_reason", "business_reason")
+        .drop(*REASONS)
     )
 
 

@@ -1,8 +1,10 @@
 """Stateful stream steps: 24-hour deduplication and the token bucket.
 
 State is one short record per key and is dropped by an event-time timer, so it
-is bounded by the keys seen within the TTL (or refill time). The rows of a key
-are read as an iterator of batches, never gathered.
+is bounded by the keys seen within the TTL (or refill time). The rows of one key in
+one micro-batch arrive as Arrow batches cut anywhere, in no order. They are put in
+arrival order before any is decided, so a task holds the rows of one key in one
+micro-batch; the source's rate options bound them.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallywork.functions.windows import micros
-from tallywork.operators.ingest import MAX_FUTURE_SKEW
+from tallywork.operators.ingest import MAX_BATCH, MAX_FUTURE_SKEW, RATE_LIMITED, VALIDATION_FAILED
 from tallywork.operators.ratelimit import Bucket
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -25,6 +27,13 @@ def _us(values: pd.Series) -> list[int]:
     return values.astype("datetime64[us]").astype("int64").tolist()
 
 
+def _replace_timer(handle: StatefulProcessorHandle, us: int) -> None:
+    """Leave the key with one timer, at the first millisecond after ``us``."""
+    for timer in handle.listTimers():
+        handle.deleteTimer(timer)
+    handle.registerTimer(us // 1000 + 1)
+
+
 class FirstSighting(StatefulProcessor):
     """Pass or flag the sightings of one (tenant, key).
 
@@ -52,24 +61,30 @@ class FirstSighting(StatefulProcessor):
         held = self.accepted.get()
         last = held[0] if held else None
         before = last
+        undecided = []
         for batch in rows:
-            batch = batch.sort_values([self.at, self.tie])
-            repeats = []
-            for now in _us(batch[self.at]):
-                repeat = last is not None and now < last + self.ttl_us
-                if not repeat:
-                    last = now
-                repeats.append(repeat)
-            flagged = batch.assign(deduplicated=repeats)
-            if not self.keep_duplicates:
-                flagged = flagged[~flagged["deduplicated"]].drop(columns="deduplicated")
-            if len(flagged):
-                yield flagged
+            if last is not None and not self.keep_duplicates:
+                # Whatever the order, these repeat the sighting accepted before.
+                batch = batch[[now >= last + self.ttl_us for now in _us(batch[self.at])]]
+            if len(batch):
+                undecided.append(batch)
+        if not undecided:
+            return
+        ordered = pd.concat(undecided, ignore_index=True).sort_values([self.at, self.tie])
+        repeats = []
+        for now in _us(ordered[self.at]):
+            repeat = last is not None and now < last + self.ttl_us
+            if not repeat:
+                last = now
+            repeats.append(repeat)
+        flagged = ordered.assign(deduplicated=repeats)
+        if not self.keep_duplicates:
+            flagged = flagged[~flagged["deduplicated"]].drop(columns="deduplicated")
+        if len(flagged):
+            yield flagged
         if last != before:
             self.accepted.update((last,))
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer((last + self.ttl_us + self.slack_us) // 1000 + 1)
+            _replace_timer(self.handle, last + self.ttl_us + self.slack_us)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # Every update of the state replaces its timer, so the timer is the current one's.
@@ -108,46 +123,111 @@ def stream_duplicates(
 
 
 class TokenBucket(StatefulProcessor):
-    """Grant or refuse the requests of one tenant."""
+    """Grant or refuse the requests of one tenant.
+
+    A bucket that has had time to fill is like one never used, so the timer that
+    frees its state is set to that moment.
+    """
 
     def __init__(self, bucket: Bucket):
         self.bucket = bucket
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.level = handle.getValueState(
             "level",
             T.StructType([T.StructField("level", T.LongType()), T.StructField("us", T.LongType())]),
         )
 
+    def decide(self, requests: pd.DataFrame) -> pd.DataFrame:
+        """Add ``granted`` to all requests of a micro-batch, in the order of their arrival."""
+        ordered = requests.sort_values(["received_at", "request_id"])
+        held = self.level.get()
+        level, last = held if held else (self.bucket.full, None)
+        granted = []
+        for now, tokens in zip(_us(ordered["received_at"]), ordered["tokens"].tolist()):
+            if last is not None and now > last:
+                level = self.bucket.refilled(level, now - last)
+            last = now if last is None else max(last, now)
+            ok = level >= tokens * self.bucket.unit
+            if ok:
+                level -= tokens * self.bucket.unit
+            granted.append(ok)
+        if last is not None:
+            self.level.update((level, last))
+            _replace_timer(self.handle, last - (level - self.bucket.full) // self.bucket.refill)
+        return ordered.assign(granted=granted)
+
     def handleInputRows(
         self, key, rows: Iterator[pd.DataFrame], timerValues
     ) -> Iterator[pd.DataFrame]:
-        held = self.level.get()
-        level, last = held if held else (self.bucket.full, None)
-        for batch in rows:
-            batch = batch.sort_values(["received_at", "request_id"])
-            granted = []
-            for now, tokens in zip(_us(batch["received_at"]), batch["tokens"].tolist()):
-                if last is not None and now > last:
-                    level = self.bucket.refilled(level, now - last)
-                last = now if last is None else max(last, now)
-                ok = level >= tokens * self.bucket.unit
-                if ok:
-                    level -= tokens * self.bucket.unit
-                granted.append(ok)
-            yield batch.assign(granted=granted)
-        self.level.update((level, last))
+        yield self.decide(pd.concat(list(rows), ignore_index=True))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.level.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def stream_rate_limit(requests: DataFrame, bucket: Bucket) -> DataFrame:
-    """Add ``granted`` to a stream of requests (tenant_id, request_id, received_at, tokens)."""
+def stream_rate_limit(
+    requests: DataFrame, bucket: Bucket, disorder: str = "10 minutes"
+) -> DataFrame:
+    """Add ``granted`` to a stream of requests (tenant_id, request_id, received_at, tokens).
+
+    Requests of one micro-batch are decided in the order of their arrival times,
+    ties by id. ``disorder`` is how far arrival times may be out of order.
+    """
     schema = T.StructType([*requests.schema.fields, T.StructField("granted", T.BooleanType())])
-    return requests.groupBy("tenant_id").transformWithStateInPandas(
+    timed = requests.withWatermark("received_at", disorder)
+    return timed.groupBy("tenant_id").transformWithStateInPandas(
         statefulProcessor=TokenBucket(bucket),
         outputStructType=schema,
         outputMode="Append",
-        timeMode="None",
+        timeMode="eventTime",
+        eventTimeColumnName="received_at",
+    )
+
+
+class RequestGate(TokenBucket):
+    """Refuse the events of a tenant's requests that are too large or find no tokens."""
+
+    def __init__(self, bucket: Bucket, max_batch: int):
+        super().__init__(bucket)
+        self.max_batch = max_batch
+
+    def handleInputRows(
+        self, key, rows: Iterator[pd.DataFrame], timerValues
+    ) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows), ignore_index=True)
+        size = events.groupby("request_id", dropna=False)["request_id"].transform("size")
+        oversized = size > self.max_batch
+        payers = events[events["static_reason"].isna() & ~oversized]
+        asked = payers.groupby("request_id", dropna=False)["received_at"].agg(["max", "size"])
+        requests = asked.reset_index().rename(columns={"max": "received_at", "size": "tokens"})
+        decided = self.decide(requests) if len(requests) else requests.assign(granted=True)
+        refused = decided.loc[~decided["granted"].astype(bool), "request_id"]
+        reason = pd.Series(None, index=events.index, dtype=object)
+        reason[events["request_id"].isin(refused)] = RATE_LIMITED
+        reason[oversized] = VALIDATION_FAILED
+        yield events.assign(gate_reason=reason)
+
+
+def stream_gate(
+    events: DataFrame, bucket: Bucket = Bucket(), max_batch: int = MAX_BATCH
+) -> DataFrame:
+    """Add ``gate_reason`` to a stream of validated events: batch size, then rate limit.
+
+    As in the batch job, every event of a request counts for its size, and those
+    without a ``static_reason`` cost a token each. The stream carries a watermark
+    on ``received_at``; the events of a request come in one micro-batch.
+    """
+    schema = T.StructType([*events.schema.fields, T.StructField("gate_reason", T.StringType())])
+    return events.groupBy("tenant_id").transformWithStateInPandas(
+        statefulProcessor=RequestGate(bucket, max_batch),
+        outputStructType=schema,
+        outputMode="Append",
+        timeMode="eventTime",
+        eventTimeColumnName="received_at",
     )

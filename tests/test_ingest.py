@@ -1,6 +1,8 @@
 import random
+import time
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +204,31 @@ def test_rate_limit_matches_brute_force(spark, capacity, refill, mean_gap_ms, ch
     assert len(set(want.values())) == 2
 
 
+@pytest.mark.parametrize("costs", [[1], list(range(1, 51))])
+def test_long_overload_of_one_tenant(spark, costs):
+    """Twice the refill for long: functions of a bounded number of pieces, same decisions."""
+    rng = random.Random(5)
+    bucket = ratelimit.Bucket()
+    n = 256_000 if costs == [1] else 20_000
+    gap = 1_000_000 * sum(costs) / len(costs) / (2 * bucket.refill)
+    rows = [("hot", f"r{i:06d}", int(i * gap), rng.choice(costs)) for i in range(n)]
+    frame = pd.DataFrame(rows, columns=["tenant_id", "request_id", "us", "tokens"])
+    df = spark.createDataFrame(frame).select(
+        "tenant_id", "request_id", F.timestamp_micros("us").alias("received_at"), "tokens"
+    )
+    start = time.monotonic()
+    got = ratelimit.decide_requests(df, bucket).select("request_id", "granted").toPandas()
+    assert time.monotonic() - start < 60
+    want = {rid: ok for (_, rid), ok in brute_bucket(rows, bucket).items()}
+    assert dict(zip(got["request_id"], got["granted"])) == want
+    requests = pd.DataFrame(
+        {"tenant_id": "hot", "chunk": 0, "at_us": frame["us"], "tokens": frame["tokens"]}
+    )
+    parts = pd.concat(ratelimit._chunk_functions(bucket)(iter([requests[:5000]])))
+    # The request that ends a part may split every piece, by what it adds and by what it takes.
+    assert parts["pieces"].map(len).max() <= 4 * ratelimit.MAX_PIECES
+
+
 def test_quiet_tenants_are_not_simulated(spark):
     bucket = ratelimit.Bucket(10, 10, "1 second")
     rows = [("quiet", f"r{i}", i * 1_000_000, 3) for i in range(50)]

@@ -121,6 +121,57 @@ def test_dedup_flags_and_ttl(spark, feed, tmp_path):
     assert got == {1: False, 2: True, 3: True, 4: False, 5: False, 6: True, 7: False, 8: False}
 
 
+@pytest.mark.parametrize("copies", [500, 30_000])
+def test_dedup_order_does_not_depend_on_batches(spark, tmp_path, copies):
+    """The earliest of one key's copies wins, also where they fill several Arrow batches."""
+    folder = str(tmp_path / "in")
+    base = int(at(0).timestamp())
+    spark.range(copies).select(
+        F.lit(ACME).alias("tenant_id"),
+        F.lit("k").alias("idempotency_key"),
+        F.col("id").alias("event_id"),
+        F.timestamp_seconds(F.lit(base + copies) - F.col("id")).alias("received_at"),
+    ).coalesce(1).write.parquet(folder)
+    rows = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    timed = rows.withWatermark("received_at", "10 minutes")
+    for keep in (False, True):
+        name = f"copies_{copies}_{keep}"
+        run(
+            state.stream_duplicates(timed, "received_at", keep_duplicates=keep)
+            .writeStream.format("memory").queryName(name).outputMode("append")
+            .option("checkpointLocation", str(tmp_path / name))
+        )
+        got = spark.table(name)
+        assert got.count() == (copies if keep else 1)
+        first = got.filter("not deduplicated") if keep else got
+        assert [r.event_id for r in first.collect()] == [copies - 1]
+
+
+def test_bucket_state_is_freed(spark, feed, tmp_path):
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = "tenant_id string, request_id string, received_at timestamp, tokens bigint"
+
+    def ask(tenant, rid, second):
+        stamp = at(second).strftime("%Y-%m-%dT%H:%M:%SZ")
+        return {"tenant_id": tenant, "request_id": rid, "received_at": stamp, "tokens": 1}
+
+    feed.add(ask("a", "1", 0))
+    feed.add(ask("b", "2", 7200))
+    feed.add(ask("b", "3", 7201))
+    feed.add(ask("a", "4", 7202))
+    requests = source(spark, feed, _parse_datatype_string(schema))
+    progress = run(
+        state.stream_rate_limit(requests, Bucket(1, 1, "1 minute"))
+        .writeStream.format("memory").queryName("freed").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "cp"))
+    )
+    got = {r.request_id: r.granted for r in spark.table("freed").collect()}
+    assert got == {"1": True, "2": True, "3": False, "4": True}
+    removed = [op["numRowsRemoved"] for p in progress for op in p["stateOperators"]]
+    assert sum(removed) >= 1
+
+
 def test_token_bucket(spark, feed, tmp_path):
     schema = "tenant_id string, request_id string, received_at timestamp, tokens bigint"
     from pyspark.sql.types import _parse_datatype_string
@@ -171,6 +222,39 @@ def test_requests_are_admitted_or_refused(spark, feed, meters, tmp_path):
     }
 
 
+def test_large_and_unpaid_requests_are_refused(spark, feed, meters, tmp_path):
+    keys = catalogs.api_keys(spark, {ACME: ["acme"], GLOBEX: ["globex"]})
+
+    def ask(event_id, request, second, api_key="acme", quantity=1):
+        row = event(f"k{event_id}", second, quantity)
+        return {**row, "event_id": event_id, "request_id": request, "api_key": api_key}
+
+    feed.add(
+        ask(1, "r1", 0), ask(2, "r1", 0), ask(3, "r1", 0),
+        ask(4, "r1", 0, "globex"), ask(5, "r2", 1), ask(6, "r2", 1, quantity=-1),
+    )
+    feed.add(ask(7, "r3", 2), ask(8, "r3", 2), ask(9, "r4", 3), ask(10, "r5", 4))
+    requests = source(spark, feed, schemas.USAGE_REQUEST)
+    limits = {"bucket": Bucket(2, 2, "1 hour"), "max_batch": 2}
+
+    def collect(rows, name):
+        run(
+            rows.writeStream.format("memory").queryName(name).outputMode("append")
+            .option("checkpointLocation", str(tmp_path / name))
+        )
+        return spark.table(name).collect()
+
+    accepted = collect(jobs.admitted(requests, keys, meters, **limits), "gate_admitted")
+    # r1 of one tenant is too large and costs nothing; r2 pays for its sound event only, so r3
+    # finds one token of the two it needs, r4 takes it, and r5 finds none.
+    assert sorted(r.idempotency_key for r in accepted) == ["k4", "k5", "k9"]
+    rejected = collect(jobs.refused(requests, keys, meters, **limits), "gate_refused")
+    assert {r.event_id: r.reject_reason for r in rejected} == {
+        1: "validation_failed", 2: "validation_failed", 3: "validation_failed",
+        6: "validation_failed", 7: "rate_limited", 8: "rate_limited", 10: "rate_limited",
+    }
+
+
 def test_events_to_ledger(spark, feed, meters, tenant_plan, models, tmp_path):
     store = TableStore(spark, str(tmp_path / "ledger"))
     tenants = catalogs.tenants(spark, standard.TENANT_NAMES, standard.TENANT_PLANS)
