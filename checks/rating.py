@@ -284,9 +284,7 @@ def charge_ids(spark, sf):
     )
 )
 def ladder_violations(spark, sf):
-    from tallywork.sources.catalogs import flatten_plans
-
-    return rating.ladder_violations(flatten_plans(data.plan_documents(spark, sf)))
+    return rating.ladder_violations(data.plan_documents(spark, sf))
 
 
 def _rerated(version):

@@ -163,12 +163,44 @@ def tenant_ids(tenants: DataFrame) -> DataFrame:
     return tenants.select("id").orderBy("id")
 
 
+# The columns of each table that must not be null.
+REQUIRED = {
+    "ledger_account": ("tenant_id", "type", "currency"),
+    "ledger_transaction": ("tenant_id", "description"),
+    "ledger_entry": (
+        "transaction_id", "tenant_id", "account_id", "direction", "amount_minor", "currency",
+    ),
+    "account_balance": ("account_id", "tenant_id", "balance_minor", "currency"),
+    "invoice": ("tenant_id", "period_start", "period_end", "currency", "total_minor", "tax_minor"),
+    "invoice_line": (
+        "invoice_id", "tenant_id", "meter_code", "quantity", "amount_minor", "currency",
+    ),
+    "invoice_charge_link": ("charge_id", "invoice_id"),
+    "outbox": ("tenant_id", "aggregate_type", "aggregate_id", "event_type", "payload"),
+    "billed_charge": (
+        "tenant_id", "meter_code", "window_start", "window_end", "quantity_billed",
+        "amount_minor", "currency", "plan_version",
+    ),
+}
+
+
 def _faults(rows: DataFrame, table: str, rule: str, key: Column) -> DataFrame:
     return rows.select(
         F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), key.alias("row_key")
     )
 
 
+def row_faults(rows: DataFrame, table: str, key: Column, rules: dict[str, Column]) -> DataFrame:
+    """Rows that break a rule or lack a required value, one row per fault, in one narrow pass."""
+    missing = {f"{c}_missing": F.col(c).isNull() for c in REQUIRED[table] if c in rows.columns}
+    broken = F.array(*[F.when(bad, rule) for rule, bad in {**missing, **rules}.items()])
+    return rows.select(
+        F.lit(table).alias("table_name"),
+        F.explode(F.array_compact(broken)).alias("rule"),
+        key.alias("row_key"),
+    )
+
+
 def missing_parents(
     rows: DataFrame, column: str, parents: DataFrame, parent_key: str, table: str, key: Column
 ) -> DataFrame:
@@ -189,42 +221,48 @@ def integrity_faults(
     transactions: DataFrame,
     entries: DataFrame,
     invoices: DataFrame | None = None,
+    balances: DataFrame | None = None,
+    invoice_lines: DataFrame | None = None,
+    links: DataFrame | None = None,
+    outbox: DataFrame | None = None,
+    billed: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows that break a reference, an allowed value, a sign or a uniqueness rule."""
-    entry_key = F.concat_ws("#", "transaction_id", "line_no")
-    account_key = F.concat_ws("|", "tenant_id", "type", "currency")
-    parts = [
-        missing_parents(accounts, "tenant_id", tenants, "id", "ledger_account", F.col("id")),
-        missing_parents(transactions, "tenant_id", tenants, "id", "ledger_transaction", F.col("id")),
-        missing_parents(entries, "tenant_id", tenants, "id", "ledger_entry", entry_key),
-        missing_parents(entries, "transaction_id", transactions, "id", "ledger_entry", entry_key),
-        missing_parents(entries, "account_id", accounts, "id", "ledger_entry", entry_key),
-        _faults(
-            accounts.filter(~F.col("type").isin(*schemas.ACCOUNT_TYPES)),
-            "ledger_account", "type_not_allowed", F.col("id"),
-        ),
-        _faults(
-            entries.filter(~F.col("direction").isin(*schemas.DIRECTIONS)),
-            "ledger_entry", "direction_not_allowed", entry_key,
-        ),
-        _faults(
-            entries.filter(F.col("amount_minor") < 0), "ledger_entry", "amount_negative", entry_key
-        ),
-        _faults(
-            accounts.groupBy("tenant_id", "type", "currency")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > 1),
-            "ledger_account", "account_not_unique", account_key,
-        ),
+    """Rows that break a reference, a required or allowed value, a sign or a uniqueness rule.
+
+    Tables that are not given are not checked.
+    """
+    parents = {
+        "tenant_id": tenants, "transaction_id": transactions, "account_id": accounts,
+        "invoice_id": invoices,
+    }
+    id_key = F.col("id")
+    checked = [
+        ("ledger_account", accounts, id_key, {
+            "type_not_allowed": ~F.col("type").isin(*schemas.ACCOUNT_TYPES),
+        }),
+        ("ledger_transaction", transactions, id_key, {}),
+        ("ledger_entry", entries, F.concat_ws("#", "transaction_id", "line_no"), {
+            "direction_not_allowed": ~F.col("direction").isin(*schemas.DIRECTIONS),
+            "amount_negative": F.col("amount_minor") < 0,
+        }),
+        ("account_balance", balances, F.col("account_id"), {}),
+        ("invoice", invoices, id_key, {"period_empty": F.col("period_end") <= F.col("period_start")}),
+        ("invoice_line", invoice_lines, F.concat_ws("#", "invoice_id", "meter_code"), {}),
+        ("invoice_charge_link", links, F.col("charge_id"), {}),
+        ("outbox", outbox, id_key, {}),
+        ("billed_charge", billed, F.col("charge_id"), {}),
     ]
-    if invoices is not None:
-        parts.append(
-            _faults(
-                invoices.filter(F.col("period_end") <= F.col("period_start")),
-                "invoice", "period_empty", F.col("id"),
-            )
-        )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
+    result = _faults(
+        accounts.groupBy("tenant_id", "type", "currency")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > 1),
+        "ledger_account", "account_not_unique", F.concat_ws("|", "tenant_id", "type", "currency"),
+    )
+    for table, rows, key, rules in checked:
+        if rows is None:
+            continue
+        result = result.unionByName(row_faults(rows, table, key, rules))
+        for column, parent in parents.items():
+            if column in rows.columns and parent is not None:
+                result = result.unionByName(missing_parents(rows, column, parent, "id", table, key))
     return result

@@ -116,25 +116,21 @@ def unrated(readings: DataFrame, tenant_plan: DataFrame, models: DataFrame) -> D
     )
 
 
-def ladder_violations(tiers: DataFrame) -> DataFrame:
-    """Price tiers that break the rules of a ladder, with the first rule broken.
+def ladder_violations(documents: DataFrame) -> DataFrame:
+    """Price tiers of plan documents that break the rules of a ladder, with the first rule broken.
 
-    Quanta are at least one, prices and limits at least zero; limits strictly
-    increase; exactly the last tier is unbounded. The ladder rules do not apply
-    to FLAT prices. A tier is compared with the next by an equi-join on its
-    number, which spreads over all partitions however long a ladder is.
+    A price has at least one tier. Quanta are at least one, prices and limits at
+    least zero; limits strictly increase; exactly the last tier is unbounded. The
+    last two rules do not apply to FLAT prices. Narrow: a tier's neighbours come
+    from its array.
     """
-    ladder = ["plan_code", "plan_version", "meter_code"]
-    following = tiers.select(
-        *ladder,
-        (F.col("tier_no") - 1).alias("tier_no"),
-        F.col("up_to").alias("next_up_to"),
-        F.lit(True).alias("_has_next"),
-    )
+    from tallywork.sources.catalogs import plan_tiers
+
     laddered = F.col("pricing_type") != "FLAT"
-    last = F.col("_has_next").isNull()
+    last = F.col("is_last")
     problem = (
-        F.when(F.col("per_units") < 1, "per_units_below_one")
+        F.when(F.col("tier_no").isNull(), "empty_ladder")
+        .when(F.col("per_units") < 1, "per_units_below_one")
         .when(F.col("unit_price_minor") < 0, "negative_price")
         .when(F.col("up_to") < 0, "negative_limit")
         .when(laddered & last & F.col("up_to").isNotNull(), "last_tier_bounded")
@@ -144,32 +140,20 @@ def ladder_violations(tiers: DataFrame) -> DataFrame:
         )
     )
     return (
-        tiers.join(following, [*ladder, "tier_no"], "left")
+        plan_tiers(documents)
         .withColumn("violation", problem)
         .filter(F.col("violation").isNotNull())
-        .select(*ladder, "tier_no", "up_to", "next_up_to", "violation")
-    )
-
-
-def empty_ladders(documents: DataFrame) -> DataFrame:
-    """Meters of a plan whose price has no tier at all. Narrow."""
-    meters = documents.select(
-        "plan_code", F.col("version").alias("plan_version"), F.explode("meters").alias("meter_code", "price")
-    )
-    bare = F.coalesce(F.size("price.tiers"), F.lit(0)) < 1
-    return meters.filter(bare).select(
-        "plan_code", "plan_version", "meter_code", F.lit("empty_ladder").alias("violation")
+        .select(
+            "plan_code", "plan_version", "meter_code", "tier_no", "up_to", "next_up_to", "violation"
+        )
     )
 
 
 def checked_models(documents: DataFrame) -> DataFrame:
     """Price models from plan documents, refused as a whole if a ladder is malformed."""
-    from tallywork.sources.catalogs import flatten_plans, models_from_documents
+    from tallywork.sources.catalogs import models_from_documents
 
-    bare = empty_ladders(documents).first()
-    if bare is not None:
-        raise ValueError(f"price without tiers: {bare.asDict()}")
-    broken = ladder_violations(flatten_plans(documents)).first()
+    broken = ladder_violations(documents).first()
     if broken is not None:
         raise ValueError(f"malformed price ladder: {broken.asDict()}")
     return models_from_documents(documents)

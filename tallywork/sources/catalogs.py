@@ -57,11 +57,11 @@ def read_plan_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PLAN_DOCUMENT).json(path)
 
 
-def flatten_plans(documents: DataFrame) -> DataFrame:
-    """Plan documents to one row per price tier.
+def plan_tiers(documents: DataFrame) -> DataFrame:
+    """One row per price tier with its neighbours' limits; a price without tiers has one of nulls.
 
-    A tier starts where the one before it ends, read from the neighbouring array
-    element, so the step is narrow and needs neither shuffle nor window.
+    The neighbours are read from the array, so the step is narrow and needs
+    neither shuffle nor window.
     """
     meters = documents.select(
         "plan_code",
@@ -76,7 +76,7 @@ def flatten_plans(documents: DataFrame) -> DataFrame:
         "meter_code",
         F.col("price.type").alias("pricing_type"),
         F.col("price.tiers").alias("tiers"),
-        F.posexplode("price.tiers").alias("tier_no", "tier"),
+        F.posexplode_outer("price.tiers").alias("tier_no", "tier"),
     )
     before = F.get("tiers", F.col("tier_no") - 1)["up_to"]
     return tiers.select(
@@ -90,9 +90,17 @@ def flatten_plans(documents: DataFrame) -> DataFrame:
         F.col("tier.up_to").alias("up_to"),
         F.col("tier.unit_price_minor").alias("unit_price_minor"),
         F.col("tier.per_units").alias("per_units"),
+        F.get("tiers", F.col("tier_no") + 1)["up_to"].alias("next_up_to"),
+        (F.col("tier_no") == F.size("tiers") - 1).alias("is_last"),
     )
 
 
+def flatten_plans(documents: DataFrame) -> DataFrame:
+    """Plan documents to one row per price tier; a tier starts where the one before it ends."""
+    tiers = plan_tiers(documents).filter(F.col("tier_no").isNotNull())
+    return tiers.drop("next_up_to", "is_last")
+
+
 def _with_blocks_below(ladder: Column) -> Column:
     """Add to each tier of a ladder what the full blocks below it cost.
 

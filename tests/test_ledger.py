@@ -125,6 +125,42 @@ def test_integrity_faults(spark, charges):
     } <= rules
 
 
+def test_integrity_of_every_table(spark, charges):
+    book = book_of(charges((A, ACME, METER, 1, 100, 0), (B, ACME, METER, 1, 50, 0)))
+    tenants = spark.createDataFrame([(ACME,)], "id string")
+    sound = (tenants, book.accounts, book.transactions, book.entries)
+    assert ledger.integrity_faults(*sound, balances=book.balance, billed=book.billed).isEmpty()
+    blank = lambda df, c: df.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
+    lost = lambda df, c: df.withColumn(c, F.lit("none"))
+    invoices = spark.createDataFrame(
+        [("i", ACME, 1, 2)], "id string, tenant_id string, period_start int, period_end int"
+    )
+    lines = spark.createDataFrame([("j", "nobody", None)], "invoice_id string, tenant_id string, amount_minor bigint")
+    links = spark.createDataFrame([("c", "j"), ("d", "i")], "charge_id string, invoice_id string")
+    events = spark.createDataFrame([("o", "nobody", None)], "id string, tenant_id string, payload string")
+    found = ledger.integrity_faults(
+        tenants,
+        blank(book.accounts, "type"),
+        book.transactions,
+        blank(blank(book.entries, "direction"), "amount_minor"),
+        invoices,
+        lost(book.balance, "account_id"),
+        lines,
+        links,
+        events,
+        lost(book.billed, "tenant_id"),
+    )
+    assert {(r.table_name, r.rule) for r in found.collect()} == {
+        ("ledger_account", "type_missing"), ("ledger_account", "account_not_unique"),
+        ("ledger_entry", "direction_missing"), ("ledger_entry", "amount_minor_missing"),
+        ("account_balance", "account_id_unknown"),
+        ("invoice_line", "invoice_id_unknown"), ("invoice_line", "tenant_id_unknown"),
+        ("invoice_line", "amount_minor_missing"), ("invoice_charge_link", "invoice_id_unknown"),
+        ("outbox", "tenant_id_unknown"), ("outbox", "payload_missing"),
+        ("billed_charge", "tenant_id_unknown"),
+    }
+
+
 def test_rounding_difference_between_ledger_and_invoice(charges):
     ids = [f"{i:08d}-0000-3000-8000-000000000000" for i in range(4)]
     book = book_of(charges(*[(i, ACME, METER, 1, 5, 0) for i in ids]))
