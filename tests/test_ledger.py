@@ -135,7 +135,10 @@ def test_integrity_of_every_table(spark, charges):
     invoices = spark.createDataFrame(
         [("i", ACME, 1, 2)], "id string, tenant_id string, period_start int, period_end int"
     )
-    lines = spark.createDataFrame([("j", "nobody", None)], "invoice_id string, tenant_id string, amount_minor bigint")
+    lines = spark.createDataFrame(
+        [("j", "nobody", METER, None)],
+        "invoice_id string, tenant_id string, meter_code string, amount_minor bigint",
+    )
     links = spark.createDataFrame([("c", "j"), ("d", "i")], "charge_id string, invoice_id string")
     events = spark.createDataFrame([("o", "nobody", None)], "id string, tenant_id string, payload string")
     found = ledger.integrity_faults(
