@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywork.llm.text import blocks, flat, with_rows, words
+from tallywork.llm.text import blocks, flat, with_result, words
 
 WINDOW = 13
 SAMPLE_RATE = 8
@@ -314,18 +314,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     searched = phrase_blocks(benchmark, window)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(text: pa.Array) -> pa.Array:
         own = [b.value for b in searched]
         names = [f.name for f in ARROW_RESULT]
-        for batch in batches:
-            data, offsets, buffer = lowered(batch.column("text"))
-            for i, j in blocks(offsets, SHARD_BYTES):
-                got = search_shard(data, buffer, offsets[i : j + 1], own)
-                found = pa.array([dict(zip(names, r)) for r in got], ARROW_RESULT)
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), found], ["row", "found"])
-
-    rows = with_rows(docs, text_col)
-    return rows.mapInArrow(search, T.StructType([rows.schema["row"], T.StructField("found", RESULT)]))
+        data, offsets, buffer = lowered(text)
+        found = []
+        for i, j in blocks(offsets, SHARD_BYTES):
+            got = search_shard(data, buffer, offsets[i : j + 1], own)
+            found.append(pa.array([dict(zip(names, r)) for r in got], ARROW_RESULT))
+        return pa.concat_arrays(found) if found else pa.array([], ARROW_RESULT)
+
+    return with_result(docs, F.arrow_udf(search, RESULT), "found", text_col)
 
 
 def is_contaminated(n_words, n_hit):

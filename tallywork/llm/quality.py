@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywork.llm.text import SPACE, blocks, flat, with_rows, words
+from tallywork.llm.text import SPACE, blocks, flat, with_result, words
 
 # Documented bounds of the training sample; nothing else is sampled.
 SAMPLE_DOCS = 3000
@@ -28,6 +28,8 @@ RATE = 0.25
 GRAMS = (1, 2, 3)
 THRESHOLD = 0.3
 
+SCORED_BYTES = 2 << 20  # text scored at once; bounds a worker's arrays
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 REPEAT = 0  # the feature of a word that equals the one before it
 
@@ -85,7 +87,7 @@ def document_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray
     """``(feature ids, weights that add up to 1)`` of each text; of a text without words, nothing."""
     inside = ~SPACE
     data, offsets, buffer = flat(column)
-    for i, j in blocks(offsets):
+    for i, j in blocks(offsets, SCORED_BYTES):
         ends, coded, first = words(data, buffer, inside, offsets[i : j + 1])
         codes = coded.indices.to_numpy(zero_copy_only=False)
         ids, at = features(coded.dictionary)
@@ -116,7 +118,7 @@ class Model:
         inside = ~SPACE
         data, offsets, buffer = flat(column)
         out = np.empty(len(column), np.float64)
-        for i, j in blocks(offsets):
+        for i, j in blocks(offsets, SCORED_BYTES):
             ends, coded, first = words(data, buffer, inside, offsets[i : j + 1])
             codes = coded.indices.to_numpy(zero_copy_only=False)
             ids, at = features(coded.dictionary)
@@ -208,11 +210,7 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number a bucket: 1 MB
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = shared.value.scores(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(got)], ["row", "score"])
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(shared.value.scores(text), pa.float64())
 
-    rows = with_rows(docs, text_col)
-    kind = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(score, kind)
+    return with_result(docs, F.arrow_udf(score, T.DoubleType()), "score", text_col)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
 
@@ -87,9 +89,10 @@ def words(data: np.ndarray, buffer: pa.Buffer, inside: np.ndarray, offsets: np.n
     return counts, coded, first
 
 
-def with_rows(docs, text_col: str = "text"):
-    """Each row as one struct beside its text, so that a task can hand back rows of any columns."""
-    from pyspark.sql import functions as F
+def with_result(docs: DataFrame, function: Callable, name: str, text_col: str = "text") -> DataFrame:
+    """``row`` (all columns of ``docs``) and ``name``, what an Arrow function makes of the text.
 
+    Only the text goes to Python and only the result comes back; the other columns stay in the JVM.
+    """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(F.struct(*columns).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return docs.select(F.struct(*columns).alias("row"), function(F.col(f"`{text_col}`").cast("string")).alias(name))
