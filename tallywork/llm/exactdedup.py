@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.text import SPACE, blocks, flat
+from tallywork.llm.text import SPACE, blocks, bound_batches, flat
 from tallywork.session import staged
 
 REMAINDER_BITS = 40  # of a 64-bit fingerprint; the other 24 are the quotient
@@ -163,6 +163,7 @@ def exact_groups(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataF
     fingerprints go to the readers as a sorted array when they are at most ``broadcast_rows`` (8 bytes
     each), else by a join.
     """
+    bound_batches(docs)
     rows = docs.select(
         F.col("doc_id").cast("long"),
         F.coalesce(F.length("text"), F.lit(0)).alias("points"),

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallywork.llm.graph import few, merged
-from tallywork.llm.text import SPACE, blocks, flat
+from tallywork.llm.text import SPACE, blocks, bound_batches, flat
 from tallywork.session import staged
 
 SHINGLE = 5
@@ -570,6 +570,7 @@ def near_duplicates(
     doc_id are one document, linked by any of its texts; rows with a null id keep a null
     component. An empty table gives no rows. Other columns are ignored.
     """
+    bound_batches(docs)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = staged(

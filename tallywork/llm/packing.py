@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywork.llm.text import bound_batches
 from tallywork.llm.tokens import encoder
 from tallywork.session import staged
 
@@ -56,6 +57,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int) -
 
 def pieces(docs: DataFrame, path: str, end_id: int = 1, size: int = SEQUENCE) -> DataFrame:
     """The documents' token ids with the end id, cut into pieces; only their checksums leave the task."""
+    bound_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     return rows.mapInArrow(partial(_cut, path=path, end_id=end_id, size=size), PIECES)
 

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20  # of an Arrow batch; the rows of a batch can be very long texts
 
 # The white space of the word contracts, and what ends a chunk of text.
 SPACE = np.zeros(256, bool)
@@ -89,10 +90,19 @@ def words(data: np.ndarray, buffer: pa.Buffer, inside: np.ndarray, offsets: np.n
     return counts, coded, first
 
 
+def bound_batches(docs: DataFrame) -> None:
+    """Let no Arrow batch of the session grow much beyond ``BATCH_BYTES``; a lower limit stays."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(conf.get(key).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+
 def with_result(docs: DataFrame, function: Callable, name: str, text_col: str = "text") -> DataFrame:
     """``row`` (all columns of ``docs``) and ``name``, what an Arrow function makes of the text.
 
     Only the text goes to Python and only the result comes back; the other columns stay in the JVM.
     """
+    bound_batches(docs)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return docs.select(F.struct(*columns).alias("row"), function(F.col(f"`{text_col}`").cast("string")).alias(name))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tallywork.llm.text import bound_batches
 from tallywork.llm.tokens import encoder
 from tallywork.session import checkpoint_dir
 
@@ -59,6 +60,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, partitions: int
     Only texts are shuffled, by range of doc_id; encoding comes after, so ids go from the
     encoder to the file. A null id sorts first; rows of one id keep any order among themselves.
     """
+    bound_batches(docs)
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))

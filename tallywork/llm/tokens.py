@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.text import SPACE, blocks, flat, per_row, slices
+from tallywork.llm.text import SPACE, blocks, bound_batches, flat, per_row, slices
 
 REMEMBERED = 600_000
 
@@ -147,6 +147,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     A null or empty text has 0 bytes and 0 tokens; a null id stays null; repeated rows give
     repeated results; an empty table gives no rows. Columns beside the two named are ignored.
     """
+    bound_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(
         partial(_count, path=path, limit=limit),
