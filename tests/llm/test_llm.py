@@ -335,6 +335,63 @@ def test_licences(spark, docs, empty):
     assert licences.recognise(empty).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 A. N. Other
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+GPL_TEXT = """
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE_TEXT = """
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+"""
+BSD_TEXT = """
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+"""
+
+
+def test_verbatim_licences(spark):
+    texts = {"MIT": MIT_TEXT, "GPL-3.0-or-later": GPL_TEXT, "Apache-2.0": APACHE_TEXT, "BSD": BSD_TEXT}
+    forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: re.sub("(?m)^", "# ", t), lambda t: re.sub("(?m)^", " * ", t),
+             lambda t: re.sub("(?<=[^\n])\n(?=[^\n])", " ", t)]
+    rows = [(100 * k + f, form("Some words first.\n" + t)) for k, t in enumerate(texts.values()) for f, form in enumerate(forms)]
+    got = {r.doc_id: r for r in licences.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, name in enumerate(texts):
+        assert [got[100 * k + f].licences for f in range(len(forms))] == [[name]] * len(forms)
+    # A known sentence inside another is not found again; a blank line ends one.
+    edges = [(1, "This work is\nlicensed under the GNU General Public License, version 3."), (2, "Released under\n\nthe MIT License."),
+             (3, "Permission is hereby granted, x. Released under\nthe MIT License")]
+    got = {r.doc_id: r for r in licences.recognise(spark.createDataFrame(edges, "doc_id long, text string")).collect()}
+    assert [(got[k].n_sentences, got[k].n_matches) for k in (1, 2, 3)] == [(2, 1), (2, 0), (3, 1)]
+    assert [tuple(x) for x in got[3].found] == [(2, "mit-notice")]
+    assert all(licences.unbroken(w) for ws in licences.SENTENCES.values() for w in ws)
+
+
 def test_warc_archives(spark, tmp_path):
     rows = [(1, "http://a/ b", "same"), (2, "u", "same"), (3, None, None), (4, "u", ""), (5, "u", "é\r\n\r\nx"), (None, "u", "same"), (2, "u", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
