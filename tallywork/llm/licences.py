@@ -132,7 +132,6 @@ def recognise(
     # Every piece but an empty one brings a word, so a wording never spans more pieces than it has words.
     span = max((len(w.split(" ")) for w in lookup), default=1)
     starts_one = opening(list(lookup))
-    limit = max(map(len, lookup), default=0) * 4 + 64
     keys = F.array(*[F.lit(w) for w in lookup]).cast("array<string>")
     names = F.array(*[F.lit(n) for n in lookup.values()]).cast("array<string>")
     raw = F.split(F.coalesce(F.col(text_col), F.lit("")), BOUNDARY)
@@ -141,7 +140,7 @@ def recognise(
         return F.filter(pieces, lambda s: F.trim(s) != "")
 
     def tried(s: Column, i: Column) -> Column:
-        return F.struct((i + 1).alias("i"), F.when((F.length(s) <= limit) & s.rlike(starts_one), sentence_key(s)).alias("key"))
+        return F.struct((i + 1).alias("i"), F.when(s.rlike(starts_one), sentence_key(s)).alias("key"))
 
     def begins(x: Column) -> Column:
         return F.exists(keys, lambda w: (w == x.key) | w.startswith(F.concat(x.key, F.lit(" "))))

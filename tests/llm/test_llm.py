@@ -392,6 +392,12 @@ def test_verbatim_licences(spark):
     assert all(licences.unbroken(w) for ws in licences.SENTENCES.values() for w in ws)
 
 
+def test_padded_licences(spark):
+    rows = [(1, "Released under" + " \t" * 3000 + "the MIT License."), (2, "#" * 5000 + " Licensed under CC BY-NC 4.0."), (3, "*" * 5000 + " x")]
+    got = {r.doc_id: r.licences for r in licences.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["MIT"], 2: ["CC-BY-NC-4.0"], 3: []}
+
+
 def test_warc_archives(spark, tmp_path):
     rows = [(1, "http://a/ b", "same"), (2, "u", "same"), (3, None, None), (4, "u", ""), (5, "u", "é\r\n\r\nx"), (None, "u", "same"), (2, "u", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
