@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -513,19 +513,24 @@ def _sorted(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "region").sortWithinPartitions("region", "doc_id", "n")
 
 
+def _halves(h: Column) -> list[Column]:
+    return [h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)]
+
+
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     """``region, doc_id, n, comp, weight`` of regions with more than one component, each set of members once."""
     rows = members.select("region", "doc_id", "n").join(few(comps), "doc_id")
-    mark = F.xxhash64("doc_id")
+    # Sums of halves of a hash: repeated rows add up, and don't cancel.
+    halves = [h for seed in range(2) for h in _halves(F.xxhash64("doc_id", "n", F.lit(seed)))]
+    marks = [F.sum(h).alias(f"mark_{k}") for k, h in enumerate(halves)]
     stats = rows.groupBy("region").agg(
         F.min("comp").alias("low"),
         F.max("comp").alias("high"),
         F.sum("n").alias("weight"),
         F.count(F.lit(1)).alias("size"),
-        F.bit_xor(mark).alias("mark"),
-        F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("mark_b"),
+        *marks,
     ).where("low <> high")
-    once = stats.groupBy("size", "weight", "mark", "mark_b").agg(F.min("region").alias("region"))
+    once = stats.groupBy("size", "weight", *[f"mark_{k}" for k in range(len(marks))]).agg(F.min("region").alias("region"))
     once = staged(once.select("region", "weight"))
     return staged(rows.join(few(once), "region"))
 
@@ -603,10 +608,12 @@ def near_duplicates(
 
     # Profiles of the documents that meet another, and sets of those that may link with a first pivot.
     def sets_of(ids: DataFrame) -> DataFrame:
-        return staged(chosen_texts(rows, ids, broadcast_rows).mapInArrow(_sets, "doc_id long, n long, shingles array<long>"))
+        sets = chosen_texts(rows, ids, broadcast_rows).mapInArrow(_sets, "doc_id long, n long, shingles array<long>")
+        return staged(sets.where("n > 0"))
 
     met = staged(members.select("doc_id").distinct())
-    lean = staged(chosen_texts(rows, met, broadcast_rows).mapInArrow(_profiles, "doc_id long, n long, profile binary"))
+    lean = chosen_texts(rows, met, broadcast_rows).mapInArrow(_profiles, "doc_id long, n long, profile binary")
+    lean = staged(lean.where("n > 0"))
     pairs = members.where((F.col("doc_id") != F.col("pivot")) & reachable("n", "pivot_n")).select("doc_id", "pivot")
     pairs = staged(near_pairs(pairs.distinct(), lean))
     found = staged(distances(pairs, sets_of(both_ends(pairs))).where("linked"))

@@ -211,6 +211,21 @@ def test_jaccard_edges(spark, empty):
     assert got == sorted([(1, 1, 1), (1, 1, 1), (None, 1, None), (2, 1, 1)], key=str)
 
 
+def test_jaccard_repeated_rows(spark):
+    rows = [(r, d, 9) for r, d in [(1, 1), (1, 2), (2, 3), (2, 4)]] * 2 + [(3, 5, 8), (3, 6, 9), (4, 5, 9), (4, 6, 8)]
+    members = spark.createDataFrame(rows, "region long, doc_id long, n long")
+    comps = members.select("doc_id", F.col("doc_id").alias("comp")).distinct()
+    assert sorted({r.region for r in jaccard._open(members, comps).collect()}) == [1, 2, 3, 4]
+
+
+def test_jaccard_null_text_of_linked_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = {1: " ".join(words), 2: " ".join(words[:-1]), 3: " ".join(words[::-1])}
+    rows = [*texts.items(), *texts.items(), (1, None), (2, None), (2, " "), (4, None)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4} and len(got) == len(rows)
+
+
 def test_region_join_is_exact():
     rng = np.random.default_rng(4)
     base = [rng.integers(0, 2**62, 80).astype(np.uint64) for _ in range(3)]
