@@ -16,6 +16,8 @@ from tallywork.llm.graph import few
 from tallywork.llm.queries import table, vocabulary
 from tallywork.session import checkpoint_dir, staged
 
+GROUP_ROWS = 1 << 18  # groups of equal texts, of 48 bytes each, that may be sent to every task
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
@@ -24,10 +26,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of equal texts."""
-    dropped = exactdedup.exact_groups(docs).where("not kept and doc_id is not null")
-    dropped = few(staged(dropped.select(F.col("doc_id").alias("dropped_id")).distinct()))
-    return docs.join(dropped, docs.doc_id == dropped.dropped_id, "left_anti")
+    """One row of each group of equal texts, whatever its other rows' ids.
+
+    The row is the longest of those with the group's ``keep_id``, which may be null or name several rows; of
+    equally long ones the smallest by its columns, so equal rows leave one.
+    """
+    groups = exactdedup.exact_groups(docs).where("group_size > 1").groupBy(F.unhex("text_sha256").alias("sha"))
+    of_keep = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    groups = staged(groups.agg(F.first("keep_id").alias("keep_id"), F.count_if(of_keep).alias("same")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    for space in exactdedup.SPACES:
+        text = F.replace(text, F.lit(space), F.lit(""))
+    keyed = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("own_sha"))
+    met = keyed.join(few(groups, GROUP_ROWS), F.col("own_sha") == F.col("sha"), "left")
+    chosen = F.col("row.doc_id").cast("long").eqNullSafe(F.col("keep_id"))
+    kept = met.where(F.col("sha").isNull() | (chosen & (F.col("same") == 1))).select("row.*")
+    if groups.where("same > 1").isEmpty():
+        return kept
+    # Only where an id names several rows of a group are rows compared.
+    shorter = -F.coalesce(F.length("row.text"), F.lit(0))
+    tied = met.where(chosen & (F.col("same") > 1)).groupBy("sha").agg(F.min(F.struct(shorter.alias("shorter"), "row")).alias("best"))
+    return kept.unionByName(tied.select("best.row.*"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ REMAINDER_BITS = 40  # of a 64-bit fingerprint; the other 24 are the quotient
 SEGMENT_BITS = 8  # a filter travels as runs of slots that share so many leading bits
 BROADCAST_ROWS = 1 << 20  # duplicated fingerprints of 8 bytes each
 
+SPACES = " \t\n\x0b\f\r"  # the characters of SPACE
+
 SUSPECT = "doc_id long, points int, fp long, norm binary"
 EVERY = "every"  # instead of the wanted fingerprints
 SEGMENT = "segment int, quotients binary, runs binary, remainders binary, counts binary"

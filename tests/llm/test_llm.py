@@ -477,6 +477,15 @@ def test_pipeline(spark):
     assert {r.doc_id for r in got} == want and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "benchmark", "packing"]
 
 
+def test_exact_stage_by_row(spark):
+    rows = [(5, "a b", "x"), (5, "a b", "y"), (3, "c d", "x"), (5, "cd", "x"), (5, "alone", "x"), (None, "e\x0bf", "x"), (None, "e f", "x"),
+            (7, "g", "x"), (7, "g", "x"), (8, "h i", "x"), (8, "h  i", "x"), (2, "h i", "x"), (9, None, "x"), (10, " ", "x"), (11, "é", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.exact_stage(spark, docs, "")
+    want = [(5, "a b", "x"), (3, "c d", "x"), (5, "alone", "x"), (None, "e\x0bf", "x"), (7, "g", "x"), (8, "h  i", "x"), (10, " ", "x"), (11, "é", "x")]
+    assert got.columns == docs.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("path", [*sorted((ROOT / "tallywork" / "llm").glob("*.py")), ROOT / "corpus_pipeline.py"], ids=lambda p: p.name)
 def test_no_unbounded_steps(path):
     text = path.read_text()
