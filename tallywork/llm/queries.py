@@ -14,6 +14,7 @@ from tallywork.llm import (
     licences,
     packing,
     quality,
+    runs,
     tokenfile,
     tokens,
     urlmodel,
@@ -197,3 +198,26 @@ def op6_warc_zip(spark: SparkSession, sf: str) -> DataFrame:
         "record_type",
         number("refers_to").alias("refers_to"),
     )
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    damaged = F.coalesce(F.when(seed % 10 == 0, runs.looped(F.col("text"), F.floor(seed / 10))), F.col("text"))
+    found = runs.periodic_runs(docs.select("doc_id", damaged.alias("text")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    by_length = lambda r: F.struct(-r["length"], r["start"], r["period"])
+    longest = F.array_min(F.transform("found.runs", by_length))
+    lines = F.transform("found.runs", lambda r: F.concat(line(r), F.lit("\n")))
+    length, period = -longest["col1"], longest["period"]
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size("found.runs").cast("long").alias("n_runs"),
+        longest["start"].alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("found.collapsed"), 256).alias("collapsed_sha256"),
+    )
