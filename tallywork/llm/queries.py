@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywork.llm import (
     contamination,
+    conversations,
     exactdedup,
     jaccard,
     licences,
@@ -221,3 +222,8 @@ def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2(F.col("found.collapsed"), 256).alias("collapsed_sha256"),
     )
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.audited(table(spark, sf, "conversations"))
