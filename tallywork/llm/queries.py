@@ -11,6 +11,7 @@ from tallywork.llm import (
     contamination,
     conversations,
     exactdedup,
+    hyperminhash,
     jaccard,
     licences,
     packing,
@@ -227,3 +228,8 @@ def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.audited(table(spark, sf, "conversations"))
+
+
+@query()
+def op11_hyperminhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf, "documents"))
