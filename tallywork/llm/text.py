@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,15 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+def released() -> None:
+    """Give unused memory of a worker back to the machine, so that later stages find it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such function
+        pass
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Buffer]:
     """``(bytes, offsets, buffer)`` of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
