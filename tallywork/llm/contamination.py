@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywork.llm.text import blocks, flat, with_result, words
+from tallywork.llm.text import blocks, flat, released, with_result, words
 
 WINDOW = 13
 SAMPLE_RATE = 8
@@ -322,6 +322,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         for i, j in blocks(offsets, SHARD_BYTES):
             got = search_shard(data, buffer, offsets[i : j + 1], own)
             found.append(pa.array([dict(zip(names, r)) for r in got], ARROW_RESULT))
+        released()
         return pa.concat_arrays(found) if found else pa.array([], ARROW_RESULT)
 
     return with_result(docs, F.arrow_udf(search, RESULT), "found", text_col)

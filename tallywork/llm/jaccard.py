@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallywork.llm.graph import few, merged
-from tallywork.llm.text import SPACE, blocks, bound_batches, flat
+from tallywork.llm.text import SPACE, blocks, bound_batches, flat, released
 from tallywork.session import staged
 
 SHINGLE = 5
@@ -105,6 +105,7 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
             else:
                 sets.append(np.zeros(0, np.uint64))
         yield i, sets
+    released()
 
 
 def window(n: int) -> int:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.text import bound_batches
+from tallywork.llm.text import bound_batches, released
 from tallywork.llm.tokens import encoder
 from tallywork.session import staged
 
@@ -53,6 +53,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int) -
             [pa.array(c, t) for c, t in zip(out, kinds)],
             ["doc_id", "piece", "start", "length", "ids_crc32"],
         )
+        released()
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 1, size: int = SEQUENCE) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywork.llm.text import SPACE, blocks, flat, with_result, words
+from tallywork.llm.text import SPACE, blocks, flat, released, with_result, words
 
 # Documented bounds of the training sample; nothing else is sampled.
 SAMPLE_DOCS = 3000
@@ -211,6 +211,8 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number a bucket: 1 MB
 
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(shared.value.scores(text), pa.float64())
+        scored = pa.array(shared.value.scores(text), pa.float64())
+        released()
+        return scored
 
     return with_result(docs, F.arrow_udf(score, T.DoubleType()), "score", text_col)

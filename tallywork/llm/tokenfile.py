@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallywork.llm.text import bound_batches
+from tallywork.llm.text import bound_batches, released
 from tallywork.llm.tokens import encoder
 from tallywork.session import checkpoint_dir
 
@@ -52,6 +52,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
                 [part.slice(i, j - i), ids.slice(i, j - i), pa.array(np.diff(stops)), lists],
                 ["part", "doc_id", "n_tokens", "ids"],
             )
+        released()
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int, partitions: int | None = None) -> None:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.text import SPACE, blocks, bound_batches, flat, per_row, released, slices
+from tallywork.llm.text import blocks, bound_batches, flat, per_row, released, slices
 
 REMEMBERED_BYTES = 32 << 20  # of pieces and ids in a worker
 ENCODED_BYTES = 4 << 20  # of text cut and encoded at once
