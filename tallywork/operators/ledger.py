@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,6 +203,30 @@ def row_faults(rows: DataFrame, table: str, key: Column, rules: dict[str, Column
     )
 
 
+# What names a row of each table.
+KEYS = {
+    "ledger_account": ("id",),
+    "ledger_transaction": ("id",),
+    "ledger_entry": ("transaction_id", "line_no"),
+    "account_balance": ("account_id",),
+    "invoice": ("id",),
+    "invoice_line": ("invoice_id", "meter_code"),
+    "invoice_charge_link": ("charge_id",),
+    "outbox": ("id",),
+    "billed_charge": ("charge_id",),
+}
+
+
+def repeated_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """Keys that name several rows of a table, once each; copies collapse before the shuffle."""
+    found = []
+    for table, rows in tables.items():
+        names = KEYS[table]
+        counted = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)
+        found.append(_faults(counted, table, "key_not_unique", F.concat_ws("#", *names)))
+    return reduce(DataFrame.unionByName, found)
+
+
 def missing_parents(
     rows: DataFrame, column: str, parents: DataFrame, parent_key: str, table: str, key: Column
 ) -> DataFrame:

@@ -66,13 +66,15 @@ POSTING, INVOICING, RELAYING = "posting", "invoicing", "relaying"
 
 
 def content_of(charges: DataFrame) -> str:
-    """What identifies the set of charges of a batch: their number and a hash of their ids."""
-    row = (
-        charges.select("charge_id")
-        .distinct()
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("charge_id")), F.lit(0)).alias("h"))
-        .first()
-    )
+    """What identifies the charges of a batch: how many rows, and a sum of hashes of what each one bills.
+
+    Copies add up, so a batch with other amounts or with more copies of a charge is another one.
+    """
+    of_row = F.xxhash64("charge_id", "tenant_id", "meter_code", "quantity_billed", "amount_minor", "currency", "plan_version")
+    row = charges.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(of_row.cast("decimal(38,0)")), F.lit(0)).alias("h"),
+    ).first()
     return f"{row.n}:{row.h}"
 
 
@@ -136,16 +138,32 @@ def snapshot(store: TableStore, attempt: str | None) -> DataFrame:
     return store.read_attempt("account_balance", attempt or "none")
 
 
-def invoice_run(store: TableStore, period: str, batch_id: int, run: int = 1) -> DataFrame:
+def invoice_runs(store: TableStore, period: str) -> list[int]:
+    """The numbers of the invoice runs of a period that were committed."""
+    rows = store.commits().filter((F.col("writer") == INVOICING) & F.col("content").startswith(f"{period}:"))
+    return sorted(int(r.content.split(":")[1]) for r in rows.select("content").collect())
+
+
+def invoice_run(store: TableStore, period: str, batch_id: int, run: int | None = None) -> DataFrame:
     """Invoice every tenant for a period and return the headers.
 
     A tenant gets an invoice for each currency of its open charges, and one in the
     default currency in any case. Headers, lines, charge links and outbox rows
-    belong to one batch and become visible together.
+    belong to one batch and become visible together. The run is the next one of the period
+    unless given; it is part of every invoice's id, so charges that come late are invoiced
+    and announced under ids of their own. A number that comes again for the same period answers from what was
+    written; for another period or run it is refused, as is a run that was made under another number.
     """
     done = store.committed(INVOICING, batch_id)
     if done is not None:
+        if done.content.split(":")[0] != period or run not in (None, int(done.content.split(":")[1])):
+            raise ValueError(f"batch {batch_id} of {INVOICING} is run {done.content}, not {period}:{run or ''}")
         return store.read_attempt("invoice", done.attempt)
+    made = invoice_runs(store, period)
+    if run is None:
+        run = max(made, default=0) + 1
+    elif run in made:
+        raise ValueError(f"run {run} of {period} was made under another number")
     attempt = store.begin()
     charges = staged(
         invoicing.uninvoiced(
@@ -165,31 +183,32 @@ def invoice_run(store: TableStore, period: str, batch_id: int, run: int = 1) ->
     store.write("invoice_line", lines.withColumn("invoice_id", stored_id), attempt)
     announced = outbox.outbox_rows(invoicing.invoice_events(headers))
     store.write("outbox", announced.withColumn("created_at", now), attempt)
-    store.commit(INVOICING, batch_id, attempt)
+    store.commit(INVOICING, batch_id, attempt, content=f"{period}:{run}")
     return store.read_attempt("invoice", attempt)
 
 
-def relay_run(store: TableStore, send, batch_id: int) -> int:
+def relay_run(store: TableStore, send, batch_id: int, limit: int = outbox.RELAY_BATCH) -> int:
     """Send all pending outbox rows, a relay batch at a time, and log them as published.
 
-    Each relay batch is staged, sent, logged and committed before the next one, so a
-    failure in between sends the rows of one batch again and never loses any. A
-    run that is done isn't repeated. Returns how many rows the run has sent.
+    What is pending is found and put in order once a run. Each relay batch is sent, logged and committed
+    before the next one, so a failure in between sends the rows of one batch again and never
+    loses any. A run that is done isn't repeated. Returns how many rows the run has sent.
     """
     parts = f"{RELAYING}-{batch_id}"
-    while store.committed(RELAYING, batch_id) is None:
-        rows = staged(outbox.pending(store.read("outbox"), store.read("published_log")))
-        attempt = store.begin()
-        if rows.isEmpty():
-            store.commit(RELAYING, batch_id, attempt)
-            break
-        send(outbox.messages(rows))
-        store.write("published_log", outbox.published_log(rows), attempt)
-        sent = store.commits().filter(F.col("writer") == parts).count()
-        store.commit(parts, sent, attempt)
-    own = store.commits().filter(F.col("writer") == parts).select("attempt")
+    own = F.col("writer") == parts
+    if store.committed(RELAYING, batch_id) is None:
+        queued, total = outbox.queue(store.read("outbox"), store.read("published_log"))
+        sent = store.commits().filter(own).count()
+        for first in range(0, total, limit):
+            rows = queued(first, min(total, first + limit))
+            attempt = store.begin()
+            send(outbox.messages(rows))
+            store.write("published_log", outbox.published_log(rows), attempt)
+            store.commit(parts, sent, attempt)
+            sent += 1
+        store.commit(RELAYING, batch_id, store.begin())
     logs = store.read_attempts("published_log")
-    return logs.join(own, "attempt", "left_semi").count()
+    return logs.join(store.commits().filter(own).select("attempt"), "attempt", "left_semi").count()
 
 
 def verify_store(store: TableStore) -> DataFrame:
@@ -199,3 +218,26 @@ def verify_store(store: TableStore) -> DataFrame:
     return ledger.verify(
         store.read("tenant"), current, ledger.recomputed_balances(store.read("ledger_entry"), accounts)
     )
+
+
+def store_faults(store: TableStore) -> DataFrame:
+    """Rows of a stored ledger that break a reference, a value or a key."""
+    names = (
+        "ledger_account", "ledger_transaction", "ledger_entry", "invoice", "invoice_line", "invoice_charge_link", "outbox",
+        "billed_charge",
+    )
+    tables = {name: store.read(name) for name in names}
+    tables["account_balance"] = snapshot(store, store.last_posted())
+    found = ledger.integrity_faults(
+        store.read("tenant"),
+        tables["ledger_account"],
+        tables["ledger_transaction"],
+        tables["ledger_entry"],
+        tables["invoice"],
+        tables["account_balance"],
+        tables["invoice_line"],
+        tables["invoice_charge_link"],
+        tables["outbox"],
+        tables["billed_charge"],
+    )
+    return found.unionByName(ledger.repeated_keys(tables))

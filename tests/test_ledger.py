@@ -10,6 +10,7 @@ from tallywork.plans.billing import (
     invoice_run,
     post_batch,
     relay_run,
+    store_faults,
     verify_store,
 )
 from tallywork.sources import catalogs
@@ -264,6 +265,61 @@ def test_invoice_run_and_outbox(store, charges):
     assert verify_store(store).filter("not all_match").isEmpty()
 
 
+def test_late_charges_get_invoices_of_their_own(store, charges):
+    sent = []
+    send = lambda rows: sent.extend(r.key for r in rows.collect())
+    post_batch(store, delivered(charges, (A, ACME, METER, 1, 100, 0)), 1, "seq")
+    first = {r.tenant_id: r for r in invoice_run(store, "2026-07", 1).collect()}
+    assert relay_run(store, send, 1) == 3
+    post_batch(store, delivered(charges, (B, ACME, METER, 1, 500, 0)), 2, "seq")
+    late = {r.tenant_id: r for r in invoice_run(store, "2026-07", 2).collect()}
+    assert (first[ACME].total_minor, late[ACME].total_minor) == (110, 550)
+    assert first[ACME].id != late[ACME].id
+    assert relay_run(store, send, 2) == 3 and late[ACME].id in sent and len(set(sent)) == 6
+    assert store_faults(store).isEmpty()
+    # The same numbers answer as before.
+    assert {r.id for r in invoice_run(store, "2026-07", 1).collect()} == {r.id for r in first.values()}
+    assert relay_run(store, send, 2) == 3 and len(sent) == 6
+
+
+def test_an_invoice_number_names_one_period(store, charges):
+    post_batch(store, delivered(charges, (A, ACME, METER, 1, 100, 0)), 1, "seq")
+    invoice_run(store, "2026-07", 1)
+    with pytest.raises(ValueError, match="2026-07:1"):
+        invoice_run(store, "2026-08", 1)
+    with pytest.raises(ValueError, match="2026-07:1"):
+        invoice_run(store, "2026-07", 1, run=2)
+    with pytest.raises(ValueError, match="another number"):
+        invoice_run(store, "2026-07", 2, run=1)
+    assert store.read("invoice").count() == 3
+
+
+def test_a_failed_invoice_run_leaves_its_run_free(store, charges, monkeypatch):
+    post_batch(store, delivered(charges, (A, ACME, METER, 1, 100, 0)), 1, "seq")
+    monkeypatch.setattr(store, "commit", lambda *_, **__: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        invoice_run(store, "2026-07", 1)
+    monkeypatch.undo()
+    headers = {r.tenant_id: r.total_minor for r in invoice_run(store, "2026-07", 2).collect()}
+    assert headers[ACME] == 110 and store.read("invoice").count() == 3
+    assert store.read("invoice_charge_link").count() == 1
+
+
+@pytest.mark.parametrize("row", [(A, ACME, METER, 1, 999, 0), (A, ACME, METER, 2, 100, 0)])
+def test_a_number_is_refused_with_other_amounts(store, charges, row):
+    post_batch(store, delivered(charges, (A, ACME, METER, 1, 100, 0)), 1, "seq")
+    with pytest.raises(ValueError, match="other charges"):
+        post_batch(store, delivered(charges, row), 1, "seq")
+    with pytest.raises(ValueError, match="other charges"):
+        post_batch(store, delivered(charges, (A, ACME, METER, 1, 100, 0), (A, ACME, METER, 1, 100, 0)), 1, "seq")
+
+
+def test_repeated_keys_are_faults(spark):
+    rows = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "c")], "id string, tenant_id string")
+    found = ledger.repeated_keys({"invoice": rows}).collect()
+    assert [tuple(r) for r in found] == [("invoice", "key_not_unique", "1")]
+
+
 def test_batch_numbers_belong_to_a_writer(store, charges):
     post_batch(store, delivered(charges, (A, ACME, METER, 1, 100, 0)), 0, "seq")
     invoice_run(store, "2026-07", 0)
