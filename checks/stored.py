@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from checks import data
 from checks.ledger import ACCOUNT, SIGNED
 from checks.oracle import gst, sql, uuid3
-from checks.registry import query
-from tallywork.operators import ledger
+from checks.ingestion import RATE
+from checks.registry import ORACLE, query
+from tallywork.operators import ingest, ledger, ratelimit
 from tallywork.plans.billing import invoice_run, post_batch, relay_run, snapshot
+from tallywork.plans.ingestion import ingest_run
 from tallywork.session import checkpoint_dir, staged
+from tallywork.sources.sightings import SightingStore
 from tallywork.sources.tables import TableStore
 
 PERIOD = "2024-01"
@@ -98,3 +101,37 @@ def stored_relay(spark, sf):
 def stored_balances(spark, sf):
     store = _posted(spark, sf)
     return ledger.balances(snapshot(store, store.last_posted()), store.read("ledger_account"))
+
+
+def _by_arrival(rows, runs: int) -> list:
+    """The rows as so many runs that follow each other in time of arrival."""
+    us = F.unix_micros("received_at")
+    low, high = rows.agg(F.min(us), F.max(us)).first()
+    edges = [low + (high - low + 1) * k // runs for k in range(runs + 1)]
+    return [rows.filter((us >= a) & (us < b)) for a, b in zip(edges, edges[1:])]
+
+
+@query(ORACLE["event_outcomes"])
+def stored_ingest_outcomes(spark, sf):
+    """Three runs that know each other's sightings decide like one run over all requests."""
+    store = SightingStore(spark, f"{checkpoint_dir(spark)}/sightings-{uuid.uuid4().hex}")
+    found = None
+    for k, part in enumerate(_by_arrival(staged(data.requests(spark, sf)), 3)):
+        rows = ingest_run(store, part, data.keys(spark), data.meters(spark), k).outcomes
+        rows = rows.select("event_id", "tenant_id", "outcome", "reject_reason")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query(ORACLE["rate_limit"])
+def stored_rate_limit(spark, sf):
+    """Three runs that hand over each bucket's level decide like one."""
+    rows = ingest.resolve_tenants(data.requests(spark, sf), data.keys(spark))
+    asked = staged(ratelimit.requests_of(rows.filter(F.col("tenant_id").isNotNull())))
+    found, opening = None, None
+    for part in _by_arrival(asked, 3):
+        decided, left = ratelimit.decide_run(part, RATE, 4, opening)
+        opening = staged(left)
+        decided = decided.select("tenant_id", "request_id", "tokens", "granted")
+        found = decided if found is None else found.unionByName(decided)
+    return found

@@ -110,10 +110,13 @@ def flag_duplicates(
     max_folded: int = MAX_FOLDED,
     max_giants: int = MAX_GIANTS,
     among: Column | None = None,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``deduplicated`` to every sighting; ``(at, tie)`` is the arrival order.
 
-    Rows outside ``among`` are passed on as no duplicates and block no key.
+    Rows outside ``among`` are passed on as no duplicates and block no key. ``earlier`` has the last
+    accepted sighting of keys before these rows (``tenant_id, idempotency_key, at_us, tie``), from
+    which their TTL runs; rows that arrived before it are decided as if it had come after them.
 
     Counting the keys is an action. It reads the key columns and its shuffle
     carries one partial count per key and task. Without heavy keys, which is the
@@ -122,6 +125,16 @@ def flag_duplicates(
     ttl_us = micros(ttl)
     checkpoint_dir(rows.sparkSession)
     takes_part = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    if earlier is not None:
+        past = earlier.select(
+            *KEYS,
+            F.timestamp_micros("at_us").alias(at),
+            F.col("tie").cast(rows.schema[tie].dataType).alias(tie),
+            F.lit(True).alias("_past"),
+        )
+        every = rows.withColumn("_past", F.lit(False)).unionByName(past, allowMissingColumns=True)
+        flagged = flag_duplicates(every, ttl, at, tie, max_folded, max_giants, takes_part | F.col("_past"))
+        return flagged.filter(~F.col("_past")).drop("_past")
     apart = F.when(~takes_part, F.col(tie).cast("string"))
     marked = rows.withColumn("_apart", apart)
     taking_part = F.col("_apart").isNull()

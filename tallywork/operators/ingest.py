@@ -160,57 +160,83 @@ def validate(requests: DataFrame, keys: DataFrame, catalog: DataFrame) -> DataFr
     )
 
 
-def rate_limited(rows: DataFrame, bucket: ratelimit.Bucket) -> DataFrame:
-    """Add ``granted``: whether the request of the event got its tokens.
+def rate_limited(
+    rows: DataFrame, bucket: ratelimit.Bucket, opening: DataFrame | None = None, keep: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Add ``granted``: whether the request of the event got its tokens; and the levels left behind, if kept.
 
     Tokens are charged before business validation and deduplication, so events
     those steps throw out have been paid for.
     """
-    decided = ratelimit.decide_requests(ratelimit.requests_of(rows), bucket)
+    decided, left = ratelimit.decide_run(ratelimit.requests_of(rows), bucket, opening=opening, keep=keep)
     refused = decided.filter(~F.col("granted")).select("tenant_id", "request_id", "granted")
-    return rows.join(refused, ["tenant_id", "request_id"], "left").withColumn(
+    granted = rows.join(refused, ["tenant_id", "request_id"], "left").withColumn(
         "granted", F.coalesce("granted", F.lit(True))
     )
+    return granted, left
 
 
-def ingest(
+def gated(
     requests: DataFrame,
     keys: DataFrame,
     catalog: DataFrame,
     bucket: ratelimit.Bucket | None = None,
-    ttl: str = DEDUP_TTL,
-    max_folded: int = dedup.MAX_FOLDED,
     max_batch: int | None = None,
-) -> Ingested:
-    """Decide every event of a batch of requests.
-
-    ``bucket`` switches the rate limit on; it costs a second pass over the
-    requests to find the slots in which a tenant asks for more than it may.
-    ``max_batch`` refuses requests with more events than that, see
-    :func:`refuse_oversized`.
-    """
-    rows = validate(requests, keys, catalog)
+    opening: DataFrame | None = None,
+    keep: bool = False,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Events with the ``reject_reason`` of all checks but deduplication, and the bucket levels they leave."""
+    rows, left = validate(requests, keys, catalog), None
     if max_batch is not None:
         rows = refuse_oversized(rows, max_batch)
     if bucket is None:
         limited = F.lit(None).cast("string")
     else:
         payers = rows.filter(F.col("static_reason").isNull())
-        rows = rate_limited(payers, bucket).unionByName(
+        paid, left = rate_limited(payers, bucket, opening, keep)
+        rows = paid.unionByName(
             rows.filter(F.col("static_reason").isNotNull()).withColumn("granted", F.lit(True))
         )
         limited = F.when(~F.col("granted"), RATE_LIMITED)
     rows = rows.withColumn(
         "reject_reason", F.coalesce("static_reason", limited, "business_reason")
     ).drop("static_reason", "business_reason", "granted")
+    return rows, left
+
+
+def decided(
+    rows: DataFrame, ttl: str = DEDUP_TTL, max_folded: int = dedup.MAX_FOLDED, earlier: DataFrame | None = None
+) -> DataFrame:
+    """The ``outcome`` of every event of :func:`gated`; ``earlier`` sightings count."""
     clean = F.col("reject_reason").isNull()
-    flagged = dedup.flag_duplicates(rows, ttl, max_folded=max_folded, among=clean)
+    flagged = dedup.flag_duplicates(rows, ttl, max_folded=max_folded, among=clean, earlier=earlier)
     outcome = (
         F.when(F.col("reject_reason").isNotNull(), REJECTED)
         .when(F.col("deduplicated"), DEDUPLICATED)
         .otherwise(ACCEPTED)
     )
-    return Ingested(flagged.withColumn("outcome", outcome))
+    return flagged.withColumn("outcome", outcome)
+
+
+def ingest(
+    requests: DataFrame,
+    keys: DataFrame,
+    catalog: DataFrame,
+    bucket: ratelimit.Bucket | None = None,
+    ttl: str = DEDUP_TTL,
+    max_folded: int = dedup.MAX_FOLDED,
+    max_batch: int | None = None,
+) -> Ingested:
+    """Decide every event of a batch of requests.
+
+    ``bucket`` switches the rate limit on; it costs a second pass over the
+    requests to find the slots in which a tenant asks for more than it may.
+    ``max_batch`` refuses requests with more events than that, see
+    :func:`refuse_oversized`. Nothing is known of earlier batches, see
+    :func:`tallywork.plans.ingestion.ingest_run` for runs that follow each other.
+    """
+    rows, _ = gated(requests, keys, catalog, bucket, max_batch)
+    return Ingested(decided(rows, ttl, max_folded))
 
 
 def batch_responses(outcomes: DataFrame, with_results: bool = False) -> DataFrame:

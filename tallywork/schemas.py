@@ -70,6 +70,9 @@ OUTBOX = _table(
     created_at=TS,
 )
 PUBLISHED_LOG = _table(id=S, published_at=TS)
+SIGHTING = _table(tenant_id=S, idempotency_key=S, at_us=L, tie=S)
+SIGHTING_FILTER = _table(block=I, bits=T.BinaryType(), blocks=I)
+BUCKET_LEVEL = _table(tenant_id=S, level=L, us=L)
 
 INVOICE_CREATED = _table(
     schema_version=I, invoice_id=S, tenant_id=S, period_start=TS, period_end=TS,

@@ -47,6 +47,18 @@ TABLES: dict[str, T.StructType] = {
     "invoice_charge_link": schemas.INVOICE_CHARGE_LINK,
     "outbox": schemas.OUTBOX,
     "published_log": schemas.PUBLISHED_LOG,
+    "sighting": schemas.SIGHTING,
+    "sighting_filter": schemas.SIGHTING_FILTER,
+    "bucket_level": schemas.BUCKET_LEVEL,
+}
+# Columns that lay out a table beside month and attempt.
+LAYOUT = {
+    "sighting": [
+        T.StructField("day", T.DateType()),
+        T.StructField("of_buckets", T.IntegerType()),
+        T.StructField("bucket", T.IntegerType()),
+    ],
+    "sighting_filter": [T.StructField("day", T.DateType())],
 }
 BY_MONTH = {"ledger_transaction", "ledger_entry", "billed_charge", "invoice_charge_link"}
 
@@ -62,6 +74,7 @@ class TableStore:
         fields = list(TABLES[table].fields)
         if table in BY_MONTH:
             fields.append(T.StructField(MONTH, T.StringType()))
+        fields.extend(LAYOUT.get(table, []))
         fields.append(T.StructField(ATTEMPT, T.StringType()))
         return T.StructType(fields)
 
@@ -109,7 +122,7 @@ class TableStore:
     def write(self, table: str, rows: DataFrame, attempt: str) -> None:
         """Write the part of ``table`` that belongs to an attempt."""
         names = [f.name for f in self._schema(table).fields if f.name != ATTEMPT]
-        keys = [MONTH, ATTEMPT] if table in BY_MONTH else [ATTEMPT]
+        keys = [*([MONTH] if table in BY_MONTH else []), *(f.name for f in LAYOUT.get(table, [])), ATTEMPT]
         columns = [F.col(n).cast(self._schema(table)[n].dataType).alias(n) for n in names]
         (
             rows.select(*columns, F.lit(attempt).alias(ATTEMPT))
