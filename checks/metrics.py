@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from checks import data
 from checks.data import JANUARY
 from checks.oracle import iso, sql
-from checks.registry import query
+from checks.registry import ORACLE, query
 from tallywork.operators import invoicing, ledger, metering, opsmetrics, posting, rating
 from tallywork.plans.billing import book_of
-from tallywork.session import checkpoint_dir
+from tallywork.session import checkpoint_dir, staged
 from tallywork.sources import streams
+from tallywork.sources.tables import TableStore
 from tallywork.streaming import jobs
+from tallywork.streaming.state import STATE_STORE
 
 BOUNDS = (1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 400.0)
 
@@ -258,3 +260,27 @@ def stream_readings(spark, sf):
     )
     writer.start().awaitTermination()
     return spark.read.schema(readings.schema).parquet(f"{root}/out")
+
+
+@query(ORACLE["event_outcomes"])
+def stream_outcomes(spark, sf):
+    """Requests as a stream in order of arrival, decided once, over a restart, for all sinks."""
+    root = f"{checkpoint_dir(spark)}/stream-outcomes-{uuid.uuid4().hex}"
+    asked = staged(data.requests(spark, sf))
+    us = F.unix_micros("received_at")
+    low, high = asked.agg(F.min(us), F.max(us)).first()
+    edges = [low, (low + high) // 2, high + 1]
+    store = TableStore(spark, f"{root}/out")
+    state_store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            # The stream goes on from its checkpoint for the second half.
+            asked.filter((us >= a) & (us < b)).write.parquet(f"{root}/in/half={k}")
+            raw = streams.read_files(spark, f"{root}/in/half=*", asked.schema, "parquet")
+            rows = jobs.decided(raw, data.keys(spark), data.meters(spark))
+            jobs.fan_out(rows, store, f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", state_store)
+    found = jobs.decided_rows(store, rows.schema)
+    return found.select("event_id", "tenant_id", "outcome", "reject_reason")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from tallywork import schemas
@@ -13,7 +16,7 @@ from tallywork.plans.billing import post_batch
 from tallywork.session import checkpoint_dir
 from tallywork.sources import wire
 from tallywork.sources.tables import TableStore
-from tallywork.streaming.state import stream_duplicates, stream_gate
+from tallywork.streaming.state import stream_decisions, stream_duplicates, stream_gate
 
 
 def usage_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,6 +81,72 @@ def refused(
     )
 
 
+def decided(
+    requests: DataFrame,
+    keys: DataFrame,
+    meters: DataFrame,
+    disorder: str = "10 minutes",
+    ttl: str = ingest.DEDUP_TTL,
+    bucket: Bucket = Bucket(),
+    max_batch: int = ingest.MAX_BATCH,
+) -> DataFrame:
+    """Every event of a stream of requests with its ``reject_reason`` and ``outcome``, decided once.
+
+    One pass and one state for all outcomes, so that no event can be in two of them or in none;
+    :func:`fan_out` writes them to their sinks. Events later than ``disorder`` are in none.
+    """
+    nobody = ingest.validate(requests, keys, meters).filter(F.col("tenant_id").isNull())
+    unknown = nobody.withColumn("gate_reason", F.lit(None).cast("string")).withWatermark("received_at", disorder)
+    rows = gated(requests, keys, meters, disorder, bucket, max_batch).unionByName(unknown)
+    rows = rows.withColumn("reject_reason", F.coalesce(*REASONS)).drop(*REASONS)
+    outcome = (
+        F.when(F.col("reject_reason").isNotNull(), ingest.REJECTED)
+        .when(F.col("deduplicated"), ingest.DEDUPLICATED)
+        .otherwise(ingest.ACCEPTED)
+    )
+    return stream_decisions(rows, ttl).withColumn("outcome", outcome)
+
+
+DECIDED = "decided"
+
+
+def fan_out(
+    rows: DataFrame,
+    store: TableStore,
+    checkpoint: str,
+    sinks: dict[str, Callable[[DataFrame, int], None]] | None = None,
+) -> DataStreamWriter:
+    """Write decided events by outcome, each micro-batch under one attempt that its commit makes visible.
+
+    ``sinks`` are called per outcome with the written rows and the number of the micro-batch before the
+    commit. A micro-batch that comes again after its commit does nothing, one that failed before is
+    written under a new attempt: readers of :func:`decided_rows` see each event once, sinks at least once.
+    """
+    writer = f"stream:{checkpoint}"
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        if store.committed(writer, batch_id) is not None:
+            return
+        attempt = store.begin()
+        folder = f"{store.root}/{DECIDED}/attempt={attempt}"
+        batch.write.partitionBy("outcome").parquet(folder)
+        written = store.spark.read.schema(batch.schema).parquet(folder)
+        for outcome, send in (sinks or {}).items():
+            send(written.filter(F.col("outcome") == outcome), batch_id)
+        store.commit(writer, batch_id, attempt)
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def decided_rows(store: TableStore, schema: T.StructType, outcome: str | None = None) -> DataFrame:
+    """Events of the committed micro-batches; an ``outcome`` reads its folders only."""
+    full = T.StructType([*schema.fields, T.StructField("attempt", T.StringType())])
+    rows = store.spark.read.schema(full).option("basePath", f"{store.root}/{DECIDED}").parquet(f"{store.root}/{DECIDED}")
+    if outcome is not None:
+        rows = rows.filter(F.col("outcome") == outcome)
+    return rows.join(store.commits().select("attempt"), "attempt", "left_semi").drop("attempt")
+
+
 def metered(
     events: DataFrame,
     meters: DataFrame,

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -231,3 +232,41 @@ def stream_gate(
         timeMode="eventTime",
         eventTimeColumnName="received_at",
     )
+
+
+class Decision(FirstSighting):
+    """Flag the sightings of a key; refused events, which group apart, are passed on and leave no state."""
+
+    def handleInputRows(
+        self, key, rows: Iterator[pd.DataFrame], timerValues
+    ) -> Iterator[pd.DataFrame]:
+        if key[-1] < 0:
+            yield from super().handleInputRows(key, rows, timerValues)
+            return
+        for batch in rows:
+            if len(batch):
+                yield batch.assign(deduplicated=False)
+
+
+APART = 1 << 10  # groups that refused events are dealt over
+
+
+def stream_decisions(
+    events: DataFrame, ttl: str = "24 hours", at: str = "received_at", tie: str = "event_id"
+) -> DataFrame:
+    """Add ``deduplicated`` to a stream of events with a ``reject_reason``; refused ones are no duplicates.
+
+    Refused events are dealt over groups of their own by hash, so one reason or unknown key that a third of
+    all events share doesn't fill a group.
+    """
+    refused = F.col("reject_reason").isNotNull()
+    apart = F.when(refused, F.pmod(F.xxhash64(tie), F.lit(APART))).otherwise(F.lit(-1).cast("long"))
+    name = lambda c: F.when(refused, "").otherwise(F.coalesce(c, F.lit("")))
+    keyed = events.withColumns({"_tenant": name("tenant_id"), "_key": name("idempotency_key"), "_apart": apart})
+    schema = T.StructType([*events.schema.fields, T.StructField("deduplicated", T.BooleanType())])
+    return keyed.groupBy("_tenant", "_key", "_apart").transformWithStateInPandas(
+        statefulProcessor=Decision(micros(ttl), micros(MAX_FUTURE_SKEW), at, tie, True),
+        outputStructType=schema,
+        outputMode="Append",
+        timeMode="eventTime",
+    )

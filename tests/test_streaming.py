@@ -255,6 +255,64 @@ def test_large_and_unpaid_requests_are_refused(spark, feed, meters, tmp_path):
     }
 
 
+def test_one_decision_for_all_sinks(spark, feed, meters, tmp_path):
+    keys = catalogs.api_keys(spark, {ACME: ["acme"], GLOBEX: ["globex"]})
+
+    def ask(event_id, request, second, key, api_key="acme", quantity=1):
+        row = event(key, second, quantity)
+        return {**row, "event_id": event_id, "request_id": request, "api_key": api_key}
+
+    def gathered(*rows):
+        feed.add(*rows)
+        return len(rows)
+
+    n = gathered(ask(1, "r1", 0, "a"), ask(2, "r2", 1, "a"), ask(3, "r3", 2, "b", "nobody"), ask(4, "r4", 3, "c", quantity=-1))
+    n += gathered(ask(5, "r5", 4, "a"), ask(6, "r6", 5, "d"), ask(7, "r7", 6, "e"), ask(8, "r8", 6, "a", "globex"))
+    requests = source(spark, feed, schemas.USAGE_REQUEST)
+    rows = jobs.decided(requests, keys, meters, bucket=Bucket(4, 1, "1 day"))
+    store = TableStore(spark, str(tmp_path / "admission"))
+    sent = []
+    broken = [True]
+
+    def send(name):
+        def put(written, batch_id):
+            found = [(batch_id, r.event_id) for r in written.collect()]
+            if name == "rejected" and batch_id == 1 and broken:
+                broken.clear()
+                raise OSError("broker is away")
+            sent.extend((name, *x) for x in found)
+
+        return put
+
+    def start():
+        sinks = {name: send(name) for name in ("accepted", "rejected")}
+        return jobs.fan_out(rows, store, str(tmp_path / "state"), sinks).start()
+
+    query = start()
+    with pytest.raises(Exception, match="broker is away"):
+        query.processAllAvailable()
+    # What the broken try wrote stays invisible.
+    assert jobs.decided_rows(store, rows.schema).count() == 4
+    query = start()
+    query.processAllAvailable()
+    query.stop()
+    n += gathered(ask(9, "r9", 90_000, "a"), ask(10, "r10", 90_001, "d"))
+    query = start()
+    query.processAllAvailable()
+    query.stop()
+    got = {(r.event_id, r.outcome, r.reject_reason) for r in jobs.decided_rows(store, rows.schema).collect()}
+    assert got == {
+        (1, "accepted", None), (2, "deduplicated", None), (3, "rejected", "unauthorized"),
+        (4, "rejected", "validation_failed"), (5, "deduplicated", None), (6, "accepted", None),
+        (7, "rejected", "rate_limited"), (8, "accepted", None), (9, "accepted", None), (10, "rejected", "rate_limited"),
+    }
+    assert len(got) == n == jobs.decided_rows(store, rows.schema).count()
+    refused = jobs.decided_rows(store, rows.schema, "rejected")
+    assert {r.event_id for r in refused.collect()} == {3, 4, 7, 10}
+    # Sinks get every event at least once, and none of another outcome.
+    assert {(name, e) for name, _, e in sent} == {(o, e) for e, o, _ in got if o != "deduplicated"}
+
+
 def test_events_to_ledger(spark, feed, meters, tenant_plan, models, tmp_path):
     store = TableStore(spark, str(tmp_path / "ledger"))
     tenants = catalogs.tenants(spark, standard.TENANT_NAMES, standard.TENANT_PLANS)
