@@ -37,7 +37,7 @@ PIVOTS = 16  # of a large region in one round
 CELL = 48  # documents that a leaf compares with each other
 COUNTED = 1 << 22  # shingles that a task counts at once
 DENSE = 10  # regions of shingles in 2 ** DENSE documents or more are formed without gathering them
-BLOCK = 4 << 20  # bytes of text hashed at once
+BLOCK = 2 << 20  # bytes of text hashed at once
 MARGIN = 1e-9  # for rounding, on the safe side
 
 INSIDE = ~SPACE
