@@ -1,9 +1,10 @@
 """URL filters: host and path rules, and a character language model for the rest.
 
-Two variable-order Markov models, of accepted and of rejected URLs, give each character a
-probability that falls back from long contexts to short ones as counts get small. A URL's
-length-normalised log-likelihood difference is compared with a calibrated threshold.
-Everything is DataFrame functions; the two models travel as one array of log-ratios.
+Two variable-order Markov models, of accepted and of rejected URLs, give each byte of a URL, its query
+included, a probability. A context of up to five bytes that was seen counts; it rests on the estimate
+of the context one byte shorter, the more so the rarer it was. Contexts are rows of a table that grows with the
+URLs. A URL's length-normalised log-likelihood difference is compared with a threshold, calibrated on URLs that the
+models have not learned from. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallywork.llm.graph import few
 from tallywork.session import staged
 
-# Characters of the models. Digits count as 0, all others as ~; 0 marks begin and end.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0/.-~"
-SYMBOLS = len(ALPHABET) + 1
-ORDER = 2  # longest context; the array has SYMBOLS ** (ORDER + 1) entries, 32 768
+ORDER = 5  # bytes of the longest context
+BYTES = 256 + 1  # and the end
+BEGIN, END = "02", "03"  # marks, in hexadecimal like all bytes of grams
 BELIEF = 4.0  # weight of the shorter context's estimate, in observations
+KEPT = 5  # one in so many labelled URLs, by hash, calibrates the threshold instead of training
 BINS = 400
 RANGE = 4.0  # scores are counted in bins over -RANGE .. RANGE to calibrate
+BROADCAST_GRAMS = 1 << 19  # grams, of about 40 bytes each, that may be sent to every task
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,71 +82,51 @@ def matched(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return F.when(first.isNotNull(), F.struct(first.rule.alias("rule"), first.verdict.alias("verdict")))
 
 
-def symbols(text: Column) -> Column:
-    """The text as an array of numbers below SYMBOLS, with ORDER begin marks and one end mark."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), "[^a-z0/.-]", "~")
-    codes = F.transform(F.split(plain, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    codes = F.when(F.length(plain) > 0, codes).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.array(*[F.lit(0)] * ORDER), codes, F.array(F.lit(0)))
+def grams(text: Column, order: int = ORDER) -> Column:
+    """Each byte of the text, and its end, behind the bytes before it: arrays of hexadecimal text."""
+    marked = F.concat(F.lit(BEGIN * order), F.hex(text.cast("binary")), F.lit(END))
+    last = F.octet_length(text)
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(marked, 2 * i + 1, F.lit(2 * order + 2)))
 
 
-def grams(codes: Column) -> Column:
-    """Each character with its longest context as one number."""
+def log_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """``gram, ratio``: log P(byte | context) of accepted minus that of rejected URLs, for each gram of ``counts``.
 
-    def number(i: Column) -> Column:
-        out = F.get(codes, i)
-        for k in range(1, ORDER + 1):
-            out = out * SYMBOLS + F.get(codes, i + k)
-        return out
-
-    return F.transform(F.sequence(F.lit(0), F.size(codes) - ORDER - 1), number)
-
-
-def log_ratios(urls: DataFrame) -> DataFrame:
-    """One row, one array: log P(c | context) of accepted minus that of rejected URLs, for every gram.
-
-    ``urls`` has ``codes`` and ``accepted``. Counting aggregates before it shuffles, so each task sends
-    at most the number of grams. A context never seen gives its shorter context's estimate.
+    ``counts`` has each distinct ``gram`` with its number ``a`` in accepted and ``r`` in rejected URLs, which may
+    both be 0. From the empty context up, an order's estimate rests on that of the order below. A context
+    holds at most 257 grams, so its window is small.
     """
-    spark = urls.sparkSession
-    seen = urls.select("accepted", F.explode(grams(F.col("codes"))).alias("gram")).groupBy("gram").agg(
-        F.count_if(F.col("accepted")).alias("a"), F.count_if(~F.col("accepted")).alias("r")
-    )
-    seen = staged(seen)
-    # From the empty context up: p of an order rests on that of the order below.
-    p = spark.range(SYMBOLS).select(F.col("id").alias("gram"), *[F.lit(1 / SYMBOLS).alias(f"p_{s}") for s in "ar"])
-    for order in range(ORDER + 1):
-        size = SYMBOLS ** (order + 1)
-        own = seen.groupBy((F.col("gram") % size).alias("gram")).agg(*[F.sum(s).alias(f"n_{s}") for s in "ar"])
-        within = own.groupBy(F.floor(F.col("gram") / SYMBOLS).alias("context")).agg(
-            *[F.sum(f"n_{s}").alias(f"t_{s}") for s in "ar"]
-        )
-        all_grams = spark.range(size).select(F.col("id").alias("gram"), F.floor(F.col("id") / SYMBOLS).alias("context"))
-        below = p.select(F.col("gram").alias("shorter"), *[F.col(f"p_{s}").alias(f"q_{s}") for s in "ar"])
-        p = (
-            all_grams.join(own, "gram", "left")
-            .join(within, "context", "left")
-            .withColumn("shorter", F.col("gram") % (SYMBOLS**order if order else SYMBOLS))
-            .join(below, "shorter")
-            .select(
-                "gram",
-                *[
-                    (
-                        (F.coalesce(f"n_{s}", F.lit(0)) + BELIEF * F.col(f"q_{s}"))
-                        / (F.coalesce(f"t_{s}", F.lit(0)) + BELIEF)
-                    ).alias(f"p_{s}")
-                    for s in "ar"
-                ],
-            )
+    p = None
+    for k in range(order + 1):
+        gram = F.right("gram", F.lit(2 * k + 2))
+        own = counts.groupBy(gram.alias("gram")).agg(*[F.sum(s).alias(f"n_{s}") for s in "ar"])
+        context = Window.partitionBy(F.left("gram", F.lit(2 * k)))
+        own = own.select("*", *[F.sum(f"n_{s}").over(context).alias(f"t_{s}") for s in "ar"])
+        if p is None:
+            own = own.select("*", *[F.lit(1 / BYTES).alias(f"q_{s}") for s in "ar"])
+        else:
+            below = p.select(F.col("gram").alias("shorter"), *[F.col(f"p_{s}").alias(f"q_{s}") for s in "ar"])
+            own = own.withColumn("shorter", F.right("gram", F.lit(2 * k))).join(below, "shorter")
+        p = own.select(
+            "gram",
+            *[((F.col(f"n_{s}") + BELIEF * F.col(f"q_{s}")) / (F.col(f"t_{s}") + BELIEF)).alias(f"p_{s}") for s in "ar"],
         )
-    ratio = F.struct("gram", F.log(F.col("p_a") / F.col("p_r")).cast("float").alias("x"))
-    return p.agg(F.array_sort(F.collect_list(ratio)).alias("all")).select(F.col("all.x").alias("ratios"))
+    return p.select("gram", F.log(F.col("p_a") / F.col("p_r")).alias("ratio"))
 
 
-def likelihood_difference(codes: Column, ratios: Column) -> Column:
-    """The mean log-ratio of a URL's characters, its end included."""
-    each = F.transform(grams(codes), lambda g: F.get(ratios, g).cast("double"))
-    return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(each)
+def scores(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """``row_no, score`` of every row: the mean log-ratio of its bytes, the end included.
+
+    ``rows`` has ``row_no, text, accepted`` (true or false to learn from, else null). Counting aggregates before it shuffles. A gram that a third of all URLs share is one row of the model; it is broadcast if
+    it was written and is small, else the join shuffles and Spark splits what is skewed.
+    """
+    each = rows.select("accepted", F.explode(grams(F.col("text"), order)).alias("gram"))
+    of = lambda kind: F.count_if(F.col("accepted") == F.lit(kind))
+    counts = staged(each.groupBy("gram").agg(of(True).alias("a"), of(False).alias("r")))
+    ratios = staged(log_ratios(counts, order))
+    asked = rows.select("row_no", F.explode(grams(F.col("text"), order)).alias("gram"))
+    met = asked.join(few(ratios, BROADCAST_GRAMS), "gram")
+    return met.groupBy("row_no").agg(F.avg("ratio").alias("score"))
 
 
 def threshold(scores: DataFrame) -> DataFrame:
@@ -174,30 +157,37 @@ def threshold(scores: DataFrame) -> DataFrame:
     return cut.agg(F.coalesce(F.min_by("cut", F.struct("error", "cut")), F.lit(-1e9)).alias("cut"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(
+    pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", order: int = ORDER
+) -> DataFrame:
     """``page_id, host, path, rule, verdict, score, cut`` of every row.
 
-    The models learn from the URLs that the rules allow and block, and judge the others. A null URL or
-    one without ``://`` has an empty host and path and gets the verdict of a text that ends at once.
-    Repeated rows count as often as they occur; an empty table gives no rows; without rules, or with
-    one kind only, see ``threshold``.
+    The models learn from the URLs that the rules allow and block, but for one in five, which calibrate the
+    threshold; every row has its score. A null URL or one without ``://`` has an
+    empty host and path and is judged as a text that ends at once. Repeated rows count as often as they
+    occur; an empty table gives no rows; without rules, or with one kind only, see ``threshold``.
     """
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    rest = F.coalesce(_rest(url), F.lit(""))
+    host, path = F.coalesce(host_of(url), F.lit("")), F.coalesce(path_of(url), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), rest.alias("rest"))
+    rows = rows.withColumn("found", matched(F.col("host"), F.col("path"), rules))
+    text = F.concat("host", F.substr("rest", F.length("host") + 1))
+    kept = F.pmod(F.xxhash64("rest"), F.lit(KEPT)) == 0
+    allowed = F.col("found.verdict") == "allow"
     rows = rows.select(
+        F.monotonically_increasing_id().alias("row_no"),
         "page_id",
-        F.coalesce("host", F.lit("")).alias("host"),
-        F.coalesce("path", F.lit("")).alias("path"),
+        "host",
+        "path",
+        "found",
+        text.alias("text"),
+        F.when(~kept, allowed).alias("accepted"),
+        (F.col("found").isNotNull() & kept).alias("calibrates"),
     )
-    rows = rows.withColumn("found", matched(F.col("host"), F.col("path"), rules))
-    rows = rows.withColumn("codes", symbols(F.concat("host", "path")))
-    labelled = rows.where("found is not null").select("codes", (F.col("found.verdict") == "allow").alias("accepted"))
-    # The model is a constant of the plan, of a fixed size. (A subquery can't stand in a lambda.)
-    model = log_ratios(labelled).select(F.array_join(F.transform("ratios", lambda x: x.cast("string")), ",").alias("text"))
-    ratios = F.split(F.lit(model.first().text), ",").cast("array<float>")
-    scored = rows.withColumn("score", likelihood_difference(F.col("codes"), ratios))
-    scored = staged(scored.drop("codes"))
-    known = scored.where("found is not null").select("score", (F.col("found.verdict") == "allow").alias("accepted"))
+    rows = staged(rows)
+    scored = staged(rows.drop("text", "accepted").join(scores(rows, order), "row_no"))
+    known = scored.where("calibrates").select("score", allowed.alias("accepted"))
     cut = staged(threshold(known))
     judged = scored.withColumn("cut", cut.scalar())
     return judged.select(

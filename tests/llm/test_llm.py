@@ -329,11 +329,48 @@ def test_url_filter(spark):
     assert urlmodel.judge(pages.limit(0)).count() == 0
 
 
-def test_url_model_is_a_distribution(spark):
-    rows = spark.createDataFrame([("net/a1", True), ("org/b", False)], "text string, accepted boolean")
-    rows = rows.select("accepted", urlmodel.symbols(F.col("text")).alias("codes"))
-    ratios = urlmodel.log_ratios(rows).first().ratios
-    assert len(ratios) == urlmodel.SYMBOLS ** (urlmodel.ORDER + 1) and max(map(abs, ratios)) < 10
+def plain_url_scores(rows, order):
+    """Mean log-ratios of (text, accepted) rows by a plain model; texts with a label of None are only scored."""
+    counts = {True: defaultdict(int), False: defaultdict(int)}
+    spelled = [b"\x02" * order + t.encode() + b"\x03" for t, _ in rows]
+    for text, (_, label) in zip(spelled, rows):
+        for i in range(order, len(text)) if label is not None else ():
+            for k in range(order + 1):
+                counts[label][text[i - k : i + 1]] += 1
+                counts[label][text[i - k : i], k] += 1
+
+    def chance(label, text, i):
+        p = 1 / 257
+        for k in range(order + 1):
+            p = (counts[label][text[i - k : i + 1]] + 4 * p) / (counts[label][text[i - k : i], k] + 4)
+        return p
+
+    out = []
+    for text in spelled:
+        at = range(order, len(text))
+        out.append(sum(np.log(chance(True, text, i) / chance(False, text, i)) for i in at) / len(at))
+    return out
+
+
+@pytest.mark.parametrize("order", [0, 2, 5])
+def test_url_scores_are_those_of_a_plain_model(spark, order):
+    rng = random.Random(order)
+    texts = ["".join(rng.choice("abé/?=1") for _ in range(rng.randint(0, 14))) for _ in range(80)] + ["", "aaaa", "aaaa"]
+    rows = [(t, rng.choice([True, False, None])) for t in texts]
+    table = spark.createDataFrame([(k, t, a) for k, (t, a) in enumerate(rows)], "row_no long, text string, accepted boolean")
+    got = {r.row_no: r.score for r in urlmodel.scores(table, order).collect()}
+    assert np.allclose([got[k] for k in range(len(rows))], plain_url_scores(rows, order))
+
+
+def test_urls_differ_by_long_contexts_digits_and_queries(spark):
+    good = [f"http://a{k}.org/fr/x?id={k % 7}&kind=good77" for k in range(60)]
+    bad = [f"http://a{k}.net/fr/x?id={k % 7}&kind=good78" for k in range(60)]
+    asked = ["http://b.info/fr/x?id=3&kind=good77", "http://b.info/fr/x?id=3&kind=good78"]
+    pages = spark.createDataFrame(list(enumerate(good + bad + asked)), "page_id long, url string")
+    rules = (urlmodel.Rule("allow", "org"), urlmodel.Rule("block", "net"))
+    got = {r.page_id: r for r in urlmodel.judge(pages, rules).collect()}
+    assert got[120].score > got[121].score
+    assert got[120].rule is None and got[120].verdict == ("allow" if got[120].score >= got[120].cut else "block")
 
 
 def test_licences(spark, docs, empty):
