@@ -136,17 +136,26 @@ def recognise(
     names = F.array(*[F.lit(n) for n in lookup.values()]).cast("array<string>")
     raw = F.split(F.coalesce(F.col(text_col), F.lit("")), BOUNDARY)
 
-    def sentences_of(pieces: Column) -> Column:
-        return F.filter(pieces, lambda s: F.trim(s) != "")
+    def numbered(s: Column, i: Column) -> Column:
+        return F.struct((i + 1).alias("i"), s.alias("s"))
 
-    def tried(s: Column, i: Column) -> Column:
-        return F.struct((i + 1).alias("i"), F.when(s.rlike(starts_one), sentence_key(s)).alias("key"))
+    def with_number(name: str, of: str):
+        return lambda x, k: F.struct(x["i"].alias("i"), x["s"].alias("s"), *([x[of].alias(of)] if of else []), (k + 1).alias(name))
+
+    # The place of a piece in a filtered array is the number of pieces of that kind up to it.
+    sentences_in = F.transform(F.filter(F.transform("raw", numbered), lambda x: F.trim(x["s"]) != ""), with_number("at", ""))
+    wordy = F.transform(F.filter("sentences", lambda x: x["s"].rlike(WORDY)), with_number("first", "at"))
+
+    def tried(x: Column) -> Column:
+        key = F.when(x["s"].rlike(starts_one), sentence_key(x["s"])).alias("key")
+        return F.struct(x["i"].alias("i"), x["at"].alias("at"), x["first"].alias("first"), key)
 
     def begins(x: Column) -> Column:
         return F.exists(keys, lambda w: (w == x.key) | w.startswith(F.concat(x.key, F.lit(" "))))
 
     def keyed(x: Column) -> Column:
-        return F.struct(x.i.alias("i"), F.transform(F.slice("raw", x.i, span), sentence_key).alias("keys"))
+        keyed_pieces = F.transform(F.slice("raw", x["i"], span), sentence_key)
+        return F.struct(x["at"].alias("at"), x["first"].alias("first"), keyed_pieces.alias("keys"))
 
     def longest(x: Column) -> Column:
         """The longest known wording that the pieces from here on make up."""
@@ -154,25 +163,24 @@ def recognise(
             F.sequence(F.lit(1), F.size(x["keys"])),
             lambda m: F.struct(m.alias("m"), F.array_join(F.slice(x["keys"], 1, m), " ").alias("key")),
         )
-        return F.struct(x.i.alias("i"), F.array_max(F.filter(runs, lambda r: F.array_contains(keys, r.key))).alias("run"))
+        run = F.array_max(F.filter(runs, lambda r: F.array_contains(keys, r.key)))
+        return F.struct(x["at"].alias("at"), x["first"].alias("first"), run.alias("run"))
 
     def placed(x: Column) -> Column:
-        before = F.slice("raw", F.lit(1), x.i)
-        first = F.size(F.filter(before, lambda s: s.rlike(WORDY)))
         name = F.element_at(names, F.array_position(keys, x.run.key).cast("int"))
-        at = F.size(sentences_of(before)).alias("at")
-        return F.struct(at, name.alias("sentence"), first.alias("first"), (first + x.run.m - 1).alias("last"))
+        return F.struct(x["at"].alias("at"), name.alias("sentence"), x["first"].alias("first"), (x["first"] + x.run.m - 1).alias("last"))
 
     def outside(taken: Column, x: Column) -> Column:
         free = F.coalesce(F.get(taken, F.size(taken) - 1)["last"], F.lit(0)) < x["first"]
         return F.when(free, F.concat(taken, F.array(x))).otherwise(taken)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"))
+    rows = rows.select("doc_id", "raw", sentences_in.alias("sentences"))
     rows = rows.select(
         "doc_id",
-        F.size(sentences_of(F.col("raw"))).cast("long").alias("n_sentences"),
+        F.size("sentences").cast("long").alias("n_sentences"),
         "raw",
-        F.filter(F.filter(F.transform("raw", tried), lambda x: x.key.isNotNull()), begins).alias("starts"),
+        F.filter(F.filter(F.transform(wordy, tried), lambda x: x.key.isNotNull()), begins).alias("starts"),
     )
     whole = F.transform(F.filter(F.transform(F.transform("starts", keyed), longest), lambda x: x.run.isNotNull()), placed)
     none = F.array().cast("array<struct<at:int,sentence:string,first:int,last:int>>")
