@@ -1,7 +1,7 @@
-"""Exact deduplication by counting quotient filters.
+"""Exact deduplication by counting filters of slots and remainders (CQF).
 
-Every partition builds a counting quotient filter of its texts' fingerprints: a fingerprint
-is a quotient, which names a slot, and a remainder, stored in sorted runs with a count.
+Every partition builds such a filter of its texts' fingerprints: the upper bits of a fingerprint
+name a slot, the others are the remainder, stored in sorted runs with a count.
 Filters of one geometry merge without loss by merging their sorted remainders and adding counts.
 Only texts whose fingerprint counts more than one are compared byte by byte.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tallywork.llm.text import SPACE, blocks, bound_batches, flat
 from tallywork.session import staged
 
-REMAINDER_BITS = 40  # of a 64-bit fingerprint; the other 24 are the quotient
+REMAINDER_BITS = 40  # of a 64-bit fingerprint; the other 24 name the slot
 SEGMENT_BITS = 8  # a filter travels as runs of slots that share so many leading bits
 BROADCAST_ROWS = 1 << 20  # duplicated fingerprints of 8 bytes each
 
@@ -28,18 +28,18 @@ SPACES = " \t\n\x0b\f\r"  # the characters of SPACE
 
 SUSPECT = "doc_id long, points int, fp long, norm binary"
 EVERY = "every"  # instead of the wanted fingerprints
-SEGMENT = "segment int, quotients binary, runs binary, remainders binary, counts binary"
+SEGMENT = "segment int, slots binary, runs binary, remainders binary, counts binary"
 
 
 def encode(fingerprints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """A filter segment from sorted distinct fingerprints: occupied quotients, run lengths, remainders, counts."""
-    quotients, runs = np.unique(fingerprints >> np.uint64(REMAINDER_BITS), return_counts=True)
+    """A filter segment from sorted distinct fingerprints: occupied slots, run lengths, remainders, counts."""
+    slots, runs = np.unique(fingerprints >> np.uint64(REMAINDER_BITS), return_counts=True)
     remainders = fingerprints & np.uint64((1 << REMAINDER_BITS) - 1)
-    return quotients.astype(np.uint32), runs.astype(np.uint32), remainders, counts
+    return slots.astype(np.uint32), runs.astype(np.uint32), remainders, counts
 
 
-def decode(quotients: np.ndarray, runs: np.ndarray, remainders: np.ndarray) -> np.ndarray:
-    return (np.repeat(quotients.astype(np.uint64), runs) << np.uint64(REMAINDER_BITS)) | remainders
+def decode(slots: np.ndarray, runs: np.ndarray, remainders: np.ndarray) -> np.ndarray:
+    return (np.repeat(slots.astype(np.uint64), runs) << np.uint64(REMAINDER_BITS)) | remainders
 
 
 def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +72,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = bounds[segment], bounds[segment + 1]
         q, r, rem, c = encode(prints[a:b], counts[a:b])
         rows.append((segment, _packed(q, "<u4"), _packed(r, "<u4"), _packed(rem, "<u8"), _packed(c, "<i8")))
-    names = ["segment", "quotients", "runs", "remainders", "counts"]
+    names = ["segment", "slots", "runs", "remainders", "counts"]
     kinds = [pa.int32(), *[pa.binary()] * 4]
     yield pa.RecordBatch.from_arrays(
         [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names
@@ -85,7 +85,7 @@ def _merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for batch in batches:
         for row in batch.to_pylist():
             part = decode(
-                np.frombuffer(row["quotients"], "<u4"),
+                np.frombuffer(row["slots"], "<u4"),
                 np.frombuffer(row["runs"], "<u4"),
                 np.frombuffer(row["remainders"], "<u8"),
             )
