@@ -1,8 +1,7 @@
-"""Exact deduplication by counting filters of slots and remainders (CQF).
+"""Exact deduplication by counting filters of slots and remainders (CQF), see :mod:`tallywork.llm.slotfilter`.
 
-Every partition builds such a filter of its texts' fingerprints: the upper bits of a fingerprint
-name a slot, the others are the remainder, stored in sorted runs with a count.
-Filters of one geometry merge without loss by merging their sorted remainders and adding counts.
+Every partition builds such a filter of its texts' fingerprints, cut into segments of the fingerprint
+space. Filters of one geometry merge without loss by merging their sorted remainders and adding counts.
 Only texts whose fingerprint counts more than one are compared byte by byte.
 """
 
@@ -17,29 +16,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywork.llm.slotfilter import Geometry, SlotFilter, geometry, merged
 from tallywork.llm.text import SPACE, blocks, bound_batches, flat
 from tallywork.session import staged
 
-REMAINDER_BITS = 40  # of a 64-bit fingerprint; the other 24 name the slot
-SEGMENT_BITS = 8  # a filter travels as runs of slots that share so many leading bits
 BROADCAST_ROWS = 1 << 20  # duplicated fingerprints of 8 bytes each
 
 SPACES = " \t\n\x0b\f\r"  # the characters of SPACE
 
 SUSPECT = "doc_id long, points int, fp long, norm binary"
 EVERY = "every"  # instead of the wanted fingerprints
-SEGMENT = "segment int, slots binary, runs binary, remainders binary, counts binary"
-
-
-def encode(fingerprints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """A filter segment from sorted distinct fingerprints: occupied slots, run lengths, remainders, counts."""
-    slots, runs = np.unique(fingerprints >> np.uint64(REMAINDER_BITS), return_counts=True)
-    remainders = fingerprints & np.uint64((1 << REMAINDER_BITS) - 1)
-    return slots.astype(np.uint32), runs.astype(np.uint32), remainders, counts
-
-
-def decode(slots: np.ndarray, runs: np.ndarray, remainders: np.ndarray) -> np.ndarray:
-    return (np.repeat(slots.astype(np.uint64), runs) << np.uint64(REMAINDER_BITS)) | remainders
+SEGMENT = "segment int, slots long, homes binary, ends binary, digits binary, remainders binary"
 
 
 def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,58 +41,45 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return prints[first], np.add.reduceat(counts, first)
 
 
-def _packed(column: np.ndarray, kind: str) -> bytes:
-    return column.astype(kind).tobytes()
-
-
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _build(batches: Iterator[pa.RecordBatch], shape: Geometry) -> Iterator[pa.RecordBatch]:
     """One filter of the whole partition, sent segment by segment."""
     prints, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
         own = np.asarray(batch.column("fp")).view(np.uint64)
         got = np.unique(own, return_counts=True)
         prints, counts = merge([(prints, counts), (got[0], got[1].astype(np.int64))])
-    segments = (prints >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
-    bounds = np.searchsorted(segments, np.arange((1 << SEGMENT_BITS) + 1))
-    rows = []
-    for segment in np.unique(segments).tolist():
-        a, b = bounds[segment], bounds[segment + 1]
-        q, r, rem, c = encode(prints[a:b], counts[a:b])
-        rows.append((segment, _packed(q, "<u4"), _packed(r, "<u4"), _packed(rem, "<u8"), _packed(c, "<i8")))
-    names = ["segment", "slots", "runs", "remainders", "counts"]
-    kinds = [pa.int32(), *[pa.binary()] * 4]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names
-    )
-
-
-def _merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge a segment's filters as they come in; give what is counted more than once."""
-    prints, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for batch in batches:
-        for row in batch.to_pylist():
-            part = decode(
-                np.frombuffer(row["slots"], "<u4"),
-                np.frombuffer(row["runs"], "<u4"),
-                np.frombuffer(row["remainders"], "<u8"),
-            )
-            prints, counts = merge([(prints, counts), (part, np.frombuffer(row["counts"], "<i8"))])
-    many = counts > 1
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(prints[many].view(np.int64)), pa.array(counts[many])], ["fp", "n"]
-    )
+    segments = (prints // np.uint64(shape.width)).astype(np.int64) // shape.slots
+    bounds = np.append(np.flatnonzero(np.diff(segments, prepend=-1)), len(segments))
+    rows = [
+        SlotFilter.build(shape, int(segments[a]), prints[a:b], counts[a:b]).row()
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())
+    ]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    names = ["segment", "slots", "homes", "ends", "digits", "remainders"]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+
+def _repeated(rows: pa.Table, shape: Geometry) -> pa.Table:
+    """What the filters of a segment count more than once together."""
+    columns = (rows.column(c).to_pylist() for c in ("segment", "slots", "homes", "ends", "digits", "remainders"))
+    filters = [SlotFilter(shape, *row) for row in zip(*columns)]
+    found = [(prints[counts > 1], counts[counts > 1]) for prints, counts in merged(filters)]
+    prints = np.concatenate([p for p, _ in found]) if found else np.zeros(0, np.uint64)
+    counts = np.concatenate([c for _, c in found]) if found else np.zeros(0, np.int64)
+    return pa.table({"fp": pa.array(prints.view(np.int64)), "n": pa.array(counts)})
 
 
 def duplicated(prints: DataFrame) -> DataFrame:
     """``fp, n`` of the fingerprints counted more than once, by filters merged segment by segment.
 
-    ``prints`` has one column ``fp``. A segment is a bounded share of the fingerprint space, so
-    the merging tasks grow with distinct fingerprints, not with copies.
+    ``prints`` has one column ``fp`` and was written. There are as many segments as the rows ask for, about four
+    million to each, so a merging task holds some 30 MB of filters however many rows there are, and copies
+    collapse before the shuffle.
     """
-    filters = prints.select("fp").mapInArrow(_build, SEGMENT)
-    return filters.groupBy("segment").applyInArrow(
-        lambda key, rows: pa.Table.from_batches(_merged(key, iter(rows.to_batches()))), "fp long, n long"
-    )
+    size = prints.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.spark_partition_id()).alias("parts")).first()
+    shape = geometry(size.rows, size.parts)
+    filters = prints.select("fp").mapInArrow(lambda batches: _build(batches, shape), SEGMENT)
+    return filters.groupBy("segment").applyInArrow(lambda rows: _repeated(rows, shape), "fp long, n long")
 
 
 def _normalised(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:

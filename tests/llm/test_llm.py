@@ -26,6 +26,7 @@ from tallywork.llm import (
     packing,
     quality,
     queries,
+    slotfilter,
     tokenfile,
     tokens,
     urlmodel,
@@ -161,13 +162,38 @@ def test_exact_dedup(docs, empty, limit):
     assert exactdedup.exact_groups(empty).count() == 0
 
 
-def test_filters_merge_without_loss():
-    rng = np.random.default_rng(3)
-    parts = [np.sort(rng.choice(rng.integers(0, 2**63, 50).astype(np.uint64), 40)) for _ in range(4)]
-    counted = [np.unique(p, return_counts=True) for p in parts]
-    whole = np.unique(np.concatenate(parts), return_counts=True)
-    got = exactdedup.merge([(exactdedup.decode(*exactdedup.encode(p, c)[:3]), c) for p, c in counted])
-    assert got[0].tolist() == whole[0].tolist() and got[1].tolist() == whole[1].tolist()
+@pytest.mark.parametrize("rows,partitions,segment_rows", [(3000, 3, 1 << 22), (3000, 1, 500), (3000, 60, 1000), (10, 10, 1)])
+def test_slot_filters_count_and_merge_without_loss(rows, partitions, segment_rows):
+    rng = np.random.default_rng(rows + partitions)
+    shape = slotfilter.geometry(rows, partitions, segment_rows)
+    want, filters = defaultdict(int), defaultdict(list)
+    for part in range(3):
+        # Full and skewed slots: dense stretches, both ends of the space, copies up to many digits.
+        own = rng.integers(0, 2**64, 900, np.uint64)
+        own[:200] = np.uint64(2**63) + rng.integers(0, 5000, 200, np.uint64)
+        own[200:210] = np.uint64(2**64 - 1) - rng.integers(0, 3, 10, np.uint64)
+        own[210:220] = rng.integers(0, 3, 10, np.uint64)
+        prints, counts = np.unique(own, return_counts=True)
+        counts = counts * rng.choice([1, 1, 1, 2, 300, 2**40], len(counts))
+        segment = (prints // np.uint64(shape.width)).astype(np.int64) // shape.slots
+        for s in np.unique(segment).tolist():
+            f = slotfilter.SlotFilter.build(shape, s, prints[segment == s], counts[segment == s])
+            filters[s].append(slotfilter.SlotFilter(shape, *f.row()))
+        for p, c in zip(prints.tolist(), counts.tolist()):
+            want[p] += c
+    got = [(p, c) for s in sorted(filters) for ps, cs in slotfilter.merged(filters[s], 7) for p, c in zip(ps.tolist(), cs.tolist())]
+    assert got == sorted(want.items())
+    for f in filters[min(filters)]:
+        some = [p for h, r, _ in f.windows() for p in ((h + f.segment * shape.slots).astype(np.uint64) * np.uint64(shape.width) + r).tolist()]
+        assert all(f.count(p) for p in some[:20]) and f.count(some[0] ^ 1) == (1 if some[0] ^ 1 in some else 0) * f.count(some[0] ^ 1)
+
+
+def test_slot_filters_take_less_than_eight_bytes_a_fingerprint():
+    rng = np.random.default_rng(1)
+    prints = np.unique(rng.integers(0, 2**64, 50_000, np.uint64))
+    shape = slotfilter.geometry(len(prints) * 32, 32)
+    f = slotfilter.SlotFilter.build(shape, 0, prints, np.ones(len(prints), np.int64))
+    assert shape.segments == 1 and f.nbytes() < 8 * len(prints)
 
 
 def linked(docs):
