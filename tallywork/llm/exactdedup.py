@@ -76,7 +76,8 @@ def duplicated(prints: DataFrame) -> DataFrame:
     million to each, so a merging task holds some 30 MB of filters however many rows there are, and copies
     collapse before the shuffle.
     """
-    size = prints.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.spark_partition_id()).alias("parts")).first()
+    parts = prints.select(F.spark_partition_id().alias("part"))
+    size = parts.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("part").alias("parts")).first()
     shape = geometry(size.rows, size.parts)
     filters = prints.select("fp").mapInArrow(lambda batches: _build(batches, shape), SEGMENT)
     return filters.groupBy("segment").applyInArrow(lambda rows: _repeated(rows, shape), "fp long, n long")
