@@ -28,7 +28,7 @@ RATE = 0.25
 GRAMS = (1, 2, 3)
 THRESHOLD = 0.3
 
-SCORED_BYTES = 2 << 20  # text scored at once; bounds a worker's arrays
+SCORED_BYTES = 1 << 20  # text scored at once; bounds a worker's arrays
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 REPEAT = 0  # the feature of a word that equals the one before it
