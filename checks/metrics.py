@@ -262,22 +262,27 @@ def stream_readings(spark, sf):
     return spark.read.schema(readings.schema).parquet(f"{root}/out")
 
 
+MICRO_BATCH = 4_000_000  # events
+
+
 @query(ORACLE["event_outcomes"])
 def stream_outcomes(spark, sf):
     """Requests as a stream in order of arrival, decided once, over a restart, for all sinks."""
     root = f"{checkpoint_dir(spark)}/stream-outcomes-{uuid.uuid4().hex}"
     asked = staged(data.requests(spark, sf))
     us = F.unix_micros("received_at")
-    low, high = asked.agg(F.min(us), F.max(us)).first()
-    edges = [low, (low + high) // 2, high + 1]
+    low, high, events = asked.agg(F.min(us), F.max(us), F.count(us)).first()
+    # A task holds a tenant's events of one micro-batch, so their number doesn't grow with the table.
+    parts = max(2, -(-events // MICRO_BATCH))
+    edges = [low + (high + 1 - low) * k // parts for k in range(parts + 1)]
     store = TableStore(spark, f"{root}/out")
     state_store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     try:
         for k, (a, b) in enumerate(zip(edges, edges[1:])):
-            # The stream goes on from its checkpoint for the second half.
-            asked.filter((us >= a) & (us < b)).write.parquet(f"{root}/in/half={k}")
-            raw = streams.read_files(spark, f"{root}/in/half=*", asked.schema, "parquet")
+            # The stream goes on from its checkpoint for the parts after the first.
+            asked.filter((us >= a) & (us < b)).write.parquet(f"{root}/in/part={k}")
+            raw = streams.read_files(spark, f"{root}/in/part=*", asked.schema, "parquet")
             rows = jobs.decided(raw, data.keys(spark), data.meters(spark))
             jobs.fan_out(rows, store, f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     finally:

@@ -1,6 +1,8 @@
 import json
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,61 @@ def test_dedup_flags_and_ttl(spark, feed, tmp_path):
     assert got == {1: False, 2: True, 3: True, 4: False, 5: False, 6: True, 7: False, 8: False}
 
 
+class Handle:
+    """State and timers of one group, in memory."""
+
+    def __init__(self):
+        self.held, self.timers = {}, set()
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def getValue(self, key):
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def listTimers(self):
+        return iter(list(self.timers))
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+def test_one_call_decides_the_keys_of_a_group():
+    """A call of Python a key took milliseconds; the group has one timer, which drops what has expired."""
+    processor, handle = state.FirstSighting(1000_000, 0, "received_at", "event_id", True), Handle()
+    processor.init(handle)
+
+    def sight(*rows):
+        columns = ["key_of", "received_at", "event_id"]
+        frame = pd.DataFrame(rows, columns=columns).assign(group_of=0)
+        frame["received_at"] = pd.to_datetime(frame["received_at"], unit="us")
+        batches = [frame.iloc[k : k + 1000] for k in range(0, len(frame), 1000)]
+        out = pd.concat(processor.handleInputRows((0,), iter(batches), None))
+        assert not {"key_of", "group_of"} & set(out.columns)
+        return dict(zip(out["event_id"], out["deduplicated"]))
+
+    keys = 3000
+    first = sight(*[(f"k{n}", n % 2, n) for n in range(keys)], ("k0", 500_000, keys), (None, 1, keys + 1), (None, 1, keys + 2))
+    assert [n for n, repeat in first.items() if repeat] == [keys]
+    assert len(handle.held) == keys and len(handle.timers) == 1
+    assert sight(("k1", 1000_000, 1), ("k2", 1000_000, 2), ("new", 1000_000, 3)) == {1: True, 2: False, 3: False}
+    timer = handle.timers.pop()
+    at_ms = SimpleNamespace(getExpiryTimeInMs=lambda: timer, getCurrentWatermarkInMs=lambda: 1500)
+    assert list(processor.handleExpiredTimer((0,), at_ms, at_ms)) == []
+    # Accepted at 1 s: k2 and the new one; all others have expired.
+    assert set(handle.held) == {("k2",), ("new",)}
+    assert handle.timers == {2001}
+
+
 @pytest.mark.parametrize("copies", [500, 30_000])
 def test_dedup_order_does_not_depend_on_batches(spark, tmp_path, copies):
     """The earliest of one key's copies wins, also where they fill several Arrow batches."""
