@@ -101,42 +101,106 @@ def half_even_ratio(numerator: Column, denominator: Column) -> Column:
     return F.when((rest > other) | ((rest == other) & odd), whole + away).otherwise(whole)
 
 
-def _wide_cost(units: Column, unit_price_minor: Column, per_units: Column) -> Column:
-    """:func:`tier_cost` in 38-digit decimals, for products beyond a ``bigint``.
+def _wide_cost(x: Column) -> Column:
+    """:func:`tier_cost` in 38-digit decimals.
 
     The remainder is split off first, because decimal division would round once
-    at scale 6 before the final rounding. Written as a lambda over one element:
-    Spark evaluates it out of line, so the generated code of the usual case
-    stays small enough to be compiled.
+    at scale 6 before the final rounding.
     """
+    units, price, per = (x[c].cast("decimal(19,0)") for c in ("units", "price", "per"))
+    product = units * price
+    rest = product % per
+    whole = (product - rest) / per
+    up = (rest * 2 > per) | ((rest * 2 == per) & (whole % 2 == 1))
+    return (whole + F.when(up, 1).otherwise(0)).try_cast("bigint")
 
-    def cost(x: Column) -> Column:
-        product = x["units"] * x["price"]
-        rest = product % x["per"]
-        whole = (product - rest) / x["per"]
-        up = (rest * 2 > x["per"]) | ((rest * 2 == x["per"]) & (whole % 2 == 1))
-        return (whole + F.when(up, 1).otherwise(0)).try_cast("bigint")
-
-    args = F.struct(
-        units.cast("decimal(19,0)").alias("units"),
-        unit_price_minor.cast("decimal(19,0)").alias("price"),
-        per_units.cast("decimal(19,0)").alias("per"),
+
+def _narrow_cost(units: Column, price: Column, per: Column) -> Column:
+    """:func:`tier_cost` where ``2 * units * price + per`` fits a ``bigint``."""
+    two = F.lit(2).cast("bigint")
+    doubled, quantum = units * price * two + per, per * two
+    half_up = _div(doubled, quantum)
+    tie = (doubled % quantum == 0) & (half_up % 2 == 1)
+    return half_up - F.when(tie, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+
+
+def _split_cost(x: Column) -> Column:
+    """:func:`tier_cost` by long division, for products beyond a ``bigint``.
+
+    With ``units = a * per + b`` and ``price = c * per + e`` the exact cost is
+    ``a * price + b * c + b * e / per``. The last product mostly fits a ``bigint`` and is
+    a decimal where it doesn't; its quotient always fits, being less than ``e``.
+    """
+    b, e = x["units"] % x["per"], x["price"] % x["per"]
+    parts = F.struct(
+        x["per"].alias("per"),
+        _div(x["units"], x["per"]).alias("a"),
+        x["price"].alias("price"),
+        b.alias("b"),
+        _div(x["price"], x["per"]).alias("c"),
+        e.alias("e"),
     )
-    return F.get(F.transform(F.array(args), cost), F.lit(0))
 
+    def last(y: Column) -> Column:
+        product = y["b"] * y["e"]
+        b, e, per = (y[c].cast("decimal(19,0)") for c in ("b", "e", "per"))
+        rest = (b * e) % per
+        whole = ((b * e - rest) / per).cast("bigint")
+        fits_long = y["b"] <= _div(F.lit(2**63 - 1), F.greatest(y["e"], F.lit(1).cast("bigint")))
+        return F.when(
+            fits_long, F.struct(_div(product, y["per"]).alias("whole"), (product % y["per"]).alias("rest"))
+        ).otherwise(F.struct(whole.alias("whole"), rest.cast("bigint").alias("rest")))
 
-def try_tier_cost(units: Column, unit_price_minor: Column, per_units: Column) -> Column:
-    """:func:`tier_cost`, but null where the cost does not fit a ``bigint``."""
+    def cost(y: Column, z: Column) -> Column:
+        other = y["per"] - z["rest"]
+        whole = F.try_add(F.try_add(F.try_multiply(y["a"], y["price"]), F.try_multiply(y["b"], y["c"])), z["whole"])
+        up = (z["rest"] > other) | ((z["rest"] == other) & (whole % 2 == 1))
+        return F.try_add(whole, F.when(up, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+
+    def both(y: Column) -> Column:
+        return F.get(F.transform(F.array(last(y)), lambda z: cost(y, z)), F.lit(0))
+
+    return F.get(F.transform(F.array(parts), both), F.lit(0))
+
+
+def _any_sign_cost(x: Column) -> Column:
+    """:func:`tier_cost` for prices and quanta of any sign."""
     two = F.lit(2).cast("bigint")
-    doubled = F.try_add(F.try_multiply(F.try_multiply(units, unit_price_minor), two), per_units)
-    quantum = F.try_multiply(per_units, two)
+    doubled = F.try_add(F.try_multiply(F.try_multiply(x["units"], x["price"]), two), x["per"])
+    quantum = F.try_multiply(x["per"], two)
     half_up = _div(doubled, quantum)
     tie = (doubled % quantum == 0) & (half_up % 2 == 1)
     narrow = half_up - F.when(tie, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    return F.when(doubled.isNotNull() & quantum.isNotNull(), narrow).otherwise(_wide_cost(x))
+
+
+def _large_cost(units: Column, unit_price_minor: Column, per_units: Column) -> Column:
+    """:func:`tier_cost` of what :func:`_narrow_cost` may not fit.
+
+    Written as a lambda over one element: Spark evaluates it out of line, so the
+    generated code of the usual case stays small enough to be compiled.
+    """
+    def cost(x: Column) -> Column:
+        usual = (x["price"] >= 0) & (x["per"] > 0)
+        return F.when(usual, _split_cost(x)).otherwise(_any_sign_cost(x))
+
+    args = F.struct(units.alias("units"), unit_price_minor.alias("price"), per_units.alias("per"))
+    return F.get(F.transform(F.array(args), cost), F.lit(0))
+
+
+def try_tier_cost(units: Column, unit_price_minor: Column, per_units: Column) -> Column:
+    """:func:`tier_cost`, but null where the cost does not fit a ``bigint``.
+
+    What fits is told by comparisons: an overflow that is caught costs more
+    than the arithmetic of a hundred rows.
+    """
+    units, price, per = (c.cast("bigint") for c in (units, unit_price_minor, per_units))
+    room = _div(F.lit(2**61), F.greatest(price, F.lit(1).cast("bigint")))
+    narrow = (price >= 0) & per.between(1, 2**62 - 1) & (units <= room)
     return (
         F.when(units <= 0, F.lit(0).cast("bigint"))
-        .when(doubled.isNotNull() & quantum.isNotNull(), narrow)
-        .otherwise(_wide_cost(units, unit_price_minor, per_units))
+        .when(narrow, _narrow_cost(units, price, per))
+        .otherwise(_large_cost(units, price, per))
     )
 
 

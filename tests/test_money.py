@@ -110,3 +110,15 @@ def test_unknown_currency_fails(spark):
 def test_mixed_currency_groups(spark):
     rows = spark.createDataFrame([("a", "AUD"), ("a", "NZD"), ("b", "AUD")], "k string, currency string")
     assert [r.k for r in M.mixed_currency_groups(rows, "k").collect()] == ["a"]
+
+
+def test_costs_beyond_a_bigint_by_long_division(spark):
+    """Exact for products of any size; what does not fit is null, also where a decimal would overflow."""
+    big = [1, 7, 2**31 + 1, 10**12 + 3, 10**17 + 9, 2**61, 2**62 + 5, LONG_MAX - 1, LONG_MAX]
+    rows = [(u, p, d) for u in big for p in big for d in big]
+    df = spark.createDataFrame(rows, "u bigint, p bigint, d bigint").coalesce(1)
+    got = df.select("u", "p", "d", M.try_tier_cost(F.col("u"), F.col("p"), F.col("d")).alias("c")).collect()
+    for r in got:
+        whole, rest = divmod(r.u * r.p, r.d)
+        cost = whole + (2 * rest > r.d or (2 * rest == r.d and whole % 2 == 1))
+        assert r.c == (cost if cost <= LONG_MAX else None), r
