@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywork import schemas
 from tallywork.operators.posting import normal_side, signed_amount
+from tallywork.session import staged
 
 MAX_RECENT = 500
 DEFAULT_RECENT = 50
@@ -232,12 +233,23 @@ def missing_parents(
 ) -> DataFrame:
     """Rows whose reference points nowhere.
 
-    The distinct references are looked up, not the rows: a parent that a third of
-    the rows refer to is one value after the partial aggregation. The rows then
-    join to the missing references, of which a sound table has none.
+    References and parents are grouped together, once by value, so a parent that a third
+    of the rows refer to is one value after the partial aggregation. What is missing is
+    written down; only if there is any, which is not so in a sound table, the rows are
+    read again and joined to it.
     """
-    known = parents.select(F.col(parent_key).alias(column))
-    missing = rows.select(column).dropna().distinct().join(known, column, "left_anti")
+    names = rows.select(F.col(column).alias(column), F.lit(True).alias("_asked"))
+    known = parents.select(F.col(parent_key).alias(column), F.lit(False).alias("_asked"))
+    missing = staged(
+        names.unionByName(known)
+        .filter(F.col(column).isNotNull())
+        .groupBy(column)
+        .agg(F.min("_asked").alias("_asked"))
+        .filter("_asked")
+        .select(column)
+    )
+    if missing.isEmpty():
+        return _faults(rows.limit(0), table, f"{column}_unknown", key)
     return _faults(rows.join(missing, column, "left_semi"), table, f"{column}_unknown", key)
 
 

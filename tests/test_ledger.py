@@ -413,3 +413,45 @@ def test_recent_transactions_limits(spark):
     assert [r.id for r in newest] == ["0599", "0598", "0597"]
     plan = ledger.recent_transactions(rows, 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def plan_of(rows) -> str:
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sound_references_do_not_read_the_rows_again(spark):
+    """Rows are joined to missing parents only if some are missing."""
+    parents = spark.createDataFrame([("a",), ("b",)], "id string")
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "n int, parent string")
+    key = F.col("n").cast("string")
+    sound = ledger.missing_parents(rows, "parent", parents, "id", "child", key)
+    assert "Join" not in plan_of(sound) and sound.isEmpty()
+    odd = rows.union(spark.createDataFrame([(5, "c"), (6, "c")], rows.schema))
+    found = ledger.missing_parents(odd, "parent", parents, "id", "child", key).collect()
+    assert sorted((r.table_name, r.rule, r.row_key) for r in found) == [
+        ("child", "parent_unknown", "5"), ("child", "parent_unknown", "6")
+    ]
+
+
+def test_drifted_balances_are_found_without_a_join_of_entries(spark, tmp_path):
+    """One tenant has charges of 1998, one has not; entries are not joined to the lost ones."""
+    from datetime import datetime
+
+    from checks.ledger import verify_drifted
+
+    days = {1: datetime(1998, 5, 1), 2: datetime(1997, 5, 1)}
+    spark.createDataFrame(
+        [(c, f"c{c}", "BUILDING") for c in days], "c_custkey long, c_name string, c_mktsegment string"
+    ).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(
+        [(c, c, "1-URGENT") for c in days], "o_orderkey long, o_custkey long, o_orderpriority string"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(
+        [(c, 1, 7, 30.0, "R", "F", day) for c, day in days.items()],
+        "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_returnflag string, "
+        "l_linestatus string, l_shipdate timestamp",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = verify_drifted(spark, str(tmp_path))
+    assert "LeftAnti" not in plan_of(found)
+    got = {r.tenant_id: (r.all_match, r.discrepancies) for r in found.collect()}
+    assert got == {"1": (False, 2), "2": (True, 0)}
