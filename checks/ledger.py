@@ -514,9 +514,7 @@ def invoices(spark, sf):
     )
 )
 def invoices_all_periods(spark, sf):
-    lines = _freight_lines(spark, sf)
-    due = lines.select("tenant_id", "period", "currency").distinct()
-    return invoicing.invoices(lines, due).select(
+    return invoicing.invoices(_freight_lines(spark, sf)).select(
         "id", "tenant_id", "period", "net_minor", "tax_minor", "total_minor"
     )
 
@@ -595,9 +593,7 @@ def outbox_rows(spark, sf):
     )
 )
 def relay_pending(spark, sf):
-    lines = _freight_lines(spark, sf)
-    due = lines.select("tenant_id", "period", "currency").distinct()
-    headers = invoicing.invoices(lines, due)
+    headers = invoicing.invoices(_freight_lines(spark, sf))
     at = headers.select(F.col("id").alias("aggregate_id"), F.col("period_end").alias("created_at"))
     rows = outbox.outbox_rows(invoicing.invoice_events(headers)).join(at, "aggregate_id")
     sent = rows.filter(F.col("created_at") < F.lit("1996-02-01").cast("timestamp")).select("id")
@@ -614,12 +610,11 @@ def relay_pending(spark, sf):
     )
 )
 def reconcile_invoices(spark, sf):
-    book = _staged_freight_book(spark, sf)
+    book = book_of(staged(data.freight_charges(spark, sf)))
     charges = invoicing.in_period(book.billed)
     lines = invoicing.invoice_lines(charges)
-    due = lines.select("tenant_id", "period", "currency").distinct()
     return invoicing.reconcile(
-        invoicing.charge_links(charges), book.entries, invoicing.invoices(lines, due)
+        invoicing.charge_links(charges), book.entries, invoicing.invoices(lines)
     )
 
 

@@ -69,12 +69,13 @@ def due_invoices(
 
 
 def invoices(
-    lines: DataFrame, due: DataFrame, run: int = 1, with_lines: bool = False
+    lines: DataFrame, due: DataFrame | None = None, run: int = 1, with_lines: bool = False
 ) -> DataFrame:
     """Invoice headers: net, tax on the net total, and their sum.
 
     ``due`` lists the (tenant_id, period, currency) to invoice; one without lines
-    gets an empty invoice. ``with_lines`` nests the lines, one per meter.
+    gets an empty invoice. Without ``due``, what has lines is invoiced, which needs no
+    join. ``with_lines`` nests the lines, one per meter.
     """
     zero = F.lit(0).cast("bigint")
     nested = F.struct("meter_code", "quantity", "amount_minor")
@@ -84,7 +85,7 @@ def invoices(
     keys = ["tenant_id", "period", "currency"]
     totals = lines.groupBy(*keys).agg(*aggregates)
     headers = (
-        due.join(totals, keys, "left")
+        (totals if due is None else due.join(totals, keys, "left"))
         .withColumn("net_minor", F.coalesce("net", zero))
         .withColumn("tax_minor", gst(F.col("net_minor")))
         .select(
@@ -137,22 +138,20 @@ def reconcile(links: DataFrame, entries: DataFrame, headers: DataFrame) -> DataF
     """Compare each invoice with what the ledger posted for its charges.
 
     The tax may differ: the ledger rounds it per charge, the invoice on its
-    total. Entries are summed per transaction and type in the join's own shuffle.
+    total. Entries are summed per transaction before the join, most of them in the
+    task that reads them, so it meets one row per charge from either side.
     """
     wanted = entries.filter(F.col("account_type").isin("REVENUE", "TAX")).select(
         F.col("transaction_id").alias("charge_id"), "account_type", signed_amount().alias("signed")
     )
+    of_type = lambda kind: F.when(F.col("account_type") == kind, -F.col("signed")).otherwise(0)
+    by_charge = wanted.groupBy("charge_id").agg(
+        F.sum(of_type("REVENUE")).alias("revenue"), F.sum(of_type("TAX")).alias("tax")
+    )
     posted = (
-        links.join(wanted, "charge_id")
+        links.join(by_charge, "charge_id")
         .groupBy("invoice_id")
-        .agg(
-            F.sum(F.when(F.col("account_type") == "REVENUE", -F.col("signed")).otherwise(0)).alias(
-                "revenue"
-            ),
-            F.sum(F.when(F.col("account_type") == "TAX", -F.col("signed")).otherwise(0)).alias(
-                "tax"
-            ),
-        )
+        .agg(F.sum("revenue").alias("revenue"), F.sum("tax").alias("tax"))
     )
     zero = F.lit(0).cast("bigint")
     return (

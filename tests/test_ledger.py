@@ -455,3 +455,20 @@ def test_drifted_balances_are_found_without_a_join_of_entries(spark, tmp_path):
     assert "LeftAnti" not in plan_of(found)
     got = {r.tenant_id: (r.all_match, r.discrepancies) for r in found.collect()}
     assert got == {"1": (False, 2), "2": (True, 0)}
+
+
+def test_reconcile_sums_entries_by_charge_and_invoices_need_no_join(spark, charges):
+    """Invoices of what has lines are those of the lines' own keys; entries meet the links summed."""
+    book = book_of(charges((A, ACME, METER, 10, 1005, 0), (B, ACME, METER, 1, 5, 1), (C, GLOBEX, METER, 3, 25, 40)))
+    billed = invoicing.in_period(book.billed)
+    lines = invoicing.invoice_lines(billed)
+    headers = invoicing.invoices(lines)
+    assert "Join" not in plan_of(headers)
+    due = lines.select("tenant_id", "period", "currency").distinct()
+    assert sorted(headers.collect()) == sorted(invoicing.invoices(lines, due).collect())
+    links = invoicing.charge_links(billed)
+    # Entries come in several parts of one type, and a charge may be linked twice.
+    entries = book.entries.unionByName(book.entries)
+    found = invoicing.reconcile(links.unionByName(links.filter(F.col("charge_id") == A)), entries, headers)
+    got = {r.tenant_id: (r.posted_revenue_minor, r.posted_tax_minor, r.tax_difference_minor) for r in found.collect()}
+    assert got == {ACME: (4 * 1005 + 2 * 5, 4 * 100 + 2 * 0, 101 - 400), GLOBEX: (2 * 25, 2 * 2, 2 - 4)}
