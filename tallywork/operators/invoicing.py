@@ -35,11 +35,11 @@ def uninvoiced(charges: DataFrame, links: DataFrame, period: str | None = None)
 def invoice_id(tenant_id: Column, period: Column, run: int, currency: Column) -> Column:
     """Invoice identifier: the same run repeated gives the same id.
 
-    An invoice in another than the default currency has it in its id.
+    An invoice in another than the default currency has it in its id. The text is
+    chosen, not the id: Spark would hash anew for each part of an id in a branch.
     """
-    plain = natural_id(tenant_id, period, F.lit(run))
-    foreign = natural_id(tenant_id, period, F.lit(run), currency)
-    return F.when(currency == DEFAULT_CURRENCY, plain).otherwise(foreign)
+    foreign = F.when(currency != DEFAULT_CURRENCY, currency)
+    return natural_id(tenant_id, period, F.lit(run), foreign)
 
 
 def invoice_lines(charges: DataFrame) -> DataFrame:

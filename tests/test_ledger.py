@@ -472,3 +472,18 @@ def test_reconcile_sums_entries_by_charge_and_invoices_need_no_join(spark, charg
     found = invoicing.reconcile(links.unionByName(links.filter(F.col("charge_id") == A)), entries, headers)
     got = {r.tenant_id: (r.posted_revenue_minor, r.posted_tax_minor, r.tax_difference_minor) for r in found.collect()}
     assert got == {ACME: (4 * 1005 + 2 * 5, 4 * 100 + 2 * 0, 101 - 400), GLOBEX: (2 * 25, 2 * 2, 2 - 4)}
+
+
+def test_invoice_id_is_hashed_once(spark):
+    """The id of another currency's invoice has the currency; neither is made in a branch."""
+    from tallywork.functions.keys import natural_id
+
+    rows = spark.createDataFrame([("t", "2026-07", c) for c in ("AUD", "NZD", None)], "t string, p string, c string")
+    made = rows.select("c", invoicing.invoice_id(F.col("t"), F.col("p"), 2, F.col("c")).alias("id"))
+    text = made._jdf.queryExecution().analyzed().toString()
+    assert "ELSE concat(" not in text and "THEN concat(" not in text
+    got = {r.c: r.id for r in made.collect()}
+    plain, foreign = rows.select(
+        natural_id(F.lit("t"), F.lit("2026-07"), F.lit(2)), natural_id(F.lit("t"), F.lit("2026-07"), F.lit(2), F.lit("NZD"))
+    ).first()
+    assert got == {"AUD": plain, "NZD": foreign, None: plain}
