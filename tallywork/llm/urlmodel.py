@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywork.llm.graph import few
 from tallywork.session import staged
 
 ORDER = 5  # bytes of the longest context
@@ -25,7 +24,6 @@ BELIEF = 4.0  # weight of the shorter context's estimate, in observations
 KEPT = 5  # one in so many labelled URLs, by hash, calibrates the threshold instead of training
 BINS = 400
 RANGE = 4.0  # scores are counted in bins over -RANGE .. RANGE to calibrate
-BROADCAST_GRAMS = 1 << 19  # grams, of about 40 bytes each, that may be sent to every task
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,7 +92,7 @@ def log_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
     ``counts`` has each distinct ``gram`` with its number ``a`` in accepted and ``r`` in rejected URLs, which may
     both be 0. From the empty context up, an order's estimate rests on that of the order below. A context
-    holds at most 257 grams, so its window is small.
+    holds at most 257 grams, so its window is small. The joins are merged: no order passes through the driver.
     """
     p = None
     for k in range(order + 1):
@@ -106,7 +104,7 @@ def log_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
             own = own.select("*", *[F.lit(1 / BYTES).alias(f"q_{s}") for s in "ar"])
         else:
             below = p.select(F.col("gram").alias("shorter"), *[F.col(f"p_{s}").alias(f"q_{s}") for s in "ar"])
-            own = own.withColumn("shorter", F.right("gram", F.lit(2 * k))).join(below, "shorter")
+            own = own.withColumn("shorter", F.right("gram", F.lit(2 * k))).join(below.hint("merge"), "shorter")
         p = own.select(
             "gram",
             *[((F.col(f"n_{s}") + BELIEF * F.col(f"q_{s}")) / (F.col(f"t_{s}") + BELIEF)).alias(f"p_{s}") for s in "ar"],
@@ -117,15 +115,15 @@ def log_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
 def scores(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """``row_no, score`` of every row: the mean log-ratio of its bytes, the end included.
 
-    ``rows`` has ``row_no, text, accepted`` (true or false to learn from, else null). Counting aggregates before it shuffles. A gram that a third of all URLs share is one row of the model; it is broadcast if
-    it was written and is small, else the join shuffles and Spark splits what is skewed.
+    ``rows`` has ``row_no, text, accepted`` (true or false to learn from, else null). Counting aggregates before it shuffles. A gram that a third of all URLs share is one row of the model. The model grows
+    with the URLs, so it is never broadcast through the driver: the join shuffles and Spark splits what is skewed.
     """
     each = rows.select("accepted", F.explode(grams(F.col("text"), order)).alias("gram"))
     of = lambda kind: F.count_if(F.col("accepted") == F.lit(kind))
     counts = staged(each.groupBy("gram").agg(of(True).alias("a"), of(False).alias("r")))
     ratios = staged(log_ratios(counts, order))
     asked = rows.select("row_no", F.explode(grams(F.col("text"), order)).alias("gram"))
-    met = asked.join(few(ratios, BROADCAST_GRAMS), "gram")
+    met = asked.join(ratios.hint("merge"), "gram")
     return met.groupBy("row_no").agg(F.avg("ratio").alias("score"))
 
 

@@ -388,6 +388,17 @@ def test_url_scores_are_those_of_a_plain_model(spark, order):
     assert np.allclose([got[k] for k in range(len(rows))], plain_url_scores(rows, order))
 
 
+def test_url_model_is_not_sent_through_the_driver(spark):
+    rows = [(i, f"a.example.org/{i}", i % 2 == 0) for i in range(40)]
+    table = spark.createDataFrame(rows, "row_no long, text string, accepted boolean")
+    grams = table.select("accepted", F.explode(urlmodel.grams(F.col("text"))).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r"))
+    for found, n in ((urlmodel.log_ratios(counts), counts.count()), (urlmodel.scores(table), len(rows))):
+        assert len(found.collect()) == n
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_urls_differ_by_long_contexts_digits_and_queries(spark):
     good = [f"http://a{k}.org/fr/x?id={k % 7}&kind=good77" for k in range(60)]
     bad = [f"http://a{k}.net/fr/x?id={k % 7}&kind=good78" for k in range(60)]
