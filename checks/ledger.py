@@ -610,7 +610,7 @@ def relay_pending(spark, sf):
     )
 )
 def reconcile_invoices(spark, sf):
-    book = book_of(staged(data.freight_charges(spark, sf)))
+    book = book_of(staged(data.freight_charges(spark, sf), lean=True))
     charges = invoicing.in_period(book.billed)
     lines = invoicing.invoice_lines(charges)
     return invoicing.reconcile(

@@ -113,3 +113,29 @@ def charge_id(
 def natural_id(*parts: Column) -> Column:
     """Identifier derived from a natural key, stable across retries."""
     return name_uuid(F.concat_ws("|", *[p.cast("string") for p in parts]))
+
+
+UUID_CUTS = ((1, 8), (10, 4), (15, 4), (20, 4), (25, 12))  # first character and length of each part
+OTHER = 17  # bytes put behind any other text, which make it longer than the 16 bytes of a UUID
+
+
+def packed_id(text: Column) -> Column:
+    """An identifier in fewer bytes, to shuffle it: a UUID as its 16 bytes, any other text as its own and a mark.
+
+    Different texts have different bytes; null stays null. Plain comparisons, as a regular
+    expression takes several times as long.
+    """
+    digits = F.replace(text, F.lit("-"), F.lit(""))
+    packed = F.unhex(digits)
+    is_uuid = (F.octet_length(text) == 36) & (F.octet_length(digits) == 32) & packed.isNotNull() & (F.lower(text) == text)
+    for at, _ in UUID_CUTS[1:]:
+        is_uuid = is_uuid & (F.substring(text, at - 1, 1) == "-")
+    return F.when(is_uuid, packed).otherwise(F.concat(text.cast("binary"), F.unhex(F.lit("00" * OTHER))))
+
+
+def unpacked_id(packed: Column) -> Column:
+    """The text of :func:`packed_id`."""
+    digits = F.lower(F.hex(packed))
+    parts = [F.substring(digits, at - dashes, n) for dashes, (at, n) in enumerate(UUID_CUTS)]
+    own = F.substr(packed, F.lit(1), F.octet_length(packed) - OTHER).cast("string")
+    return F.when(F.octet_length(packed) == 16, F.concat_ws("-", *parts)).otherwise(own)

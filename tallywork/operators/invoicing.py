@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywork import schemas
-from tallywork.functions.keys import entries_key, natural_id, sorted_entries
+from tallywork.functions.keys import entries_key, natural_id, packed_id, sorted_entries, unpacked_id
 from tallywork.functions.money import gst
 from tallywork.functions.windows import in_window, period_end, period_of, period_start
 from tallywork.operators.metering import keyed_events
@@ -139,26 +139,30 @@ def reconcile(links: DataFrame, entries: DataFrame, headers: DataFrame) -> DataF
 
     The tax may differ: the ledger rounds it per charge, the invoice on its
     total. Entries are summed per transaction before the join, most of them in the
-    task that reads them, so it meets one row per charge from either side.
+    task that reads them, so it meets one row per charge from either side. Ids, the
+    widest of what is shuffled here, are shuffled as bytes.
     """
     wanted = entries.filter(F.col("account_type").isin("REVENUE", "TAX")).select(
-        F.col("transaction_id").alias("charge_id"), "account_type", signed_amount().alias("signed")
+        packed_id(F.col("transaction_id")).alias("charge"), "account_type", signed_amount().alias("signed")
     )
     of_type = lambda kind: F.when(F.col("account_type") == kind, -F.col("signed")).otherwise(0)
-    by_charge = wanted.groupBy("charge_id").agg(
+    by_charge = wanted.groupBy("charge").agg(
         F.sum(of_type("REVENUE")).alias("revenue"), F.sum(of_type("TAX")).alias("tax")
     )
+    taken = links.select(
+        packed_id(F.col("charge_id")).alias("charge"), packed_id(F.col("invoice_id")).alias("invoice")
+    )
     posted = (
-        links.join(by_charge, "charge_id")
-        .groupBy("invoice_id")
+        taken.join(by_charge, "charge")
+        .groupBy("invoice")
         .agg(F.sum("revenue").alias("revenue"), F.sum("tax").alias("tax"))
     )
     zero = F.lit(0).cast("bigint")
     return (
-        headers.select(F.col("id").alias("invoice_id"), "tenant_id", "net_minor", "tax_minor")
-        .join(posted, "invoice_id", "left")
+        headers.select(packed_id(F.col("id")).alias("invoice"), "tenant_id", "net_minor", "tax_minor")
+        .join(posted, "invoice", "left")
         .select(
-            "invoice_id",
+            unpacked_id(F.col("invoice")).alias("invoice_id"),
             "tenant_id",
             "net_minor",
             F.coalesce("revenue", zero).alias("posted_revenue_minor"),

@@ -1,10 +1,12 @@
 import hashlib
+import time
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallywork.functions import keys as K
+from tallywork.session import SHUFFLE_CLEANUP, staged
 
 MAP = "map<string,string>"
 
@@ -76,3 +78,28 @@ def test_charge_id(spark, value, version, want):
         )
     )
     assert got.first()[0] == want
+
+
+def test_packed_ids_come_back_and_differ(spark):
+    plain = "0fda01c2-0000-3a00-8b00-00000000000a"
+    texts = [plain, plain.upper(), plain[:-1] + "g", plain[1:9] + "0" + plain[9:], plain.replace("-", ""), "-" * 36]
+    texts += ["", "a", "x" * 15, "x" * 16, "x" * 17, "é" * 18, "\0" * 17, plain[:-2] + "-a", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", K.packed_id(F.col("text")).alias("packed"))
+    got = rows.select("*", K.unpacked_id(F.col("packed")).alias("back")).collect()
+    assert [r.back for r in got] == texts
+    assert len({r.packed and bytes(r.packed) for r in got}) == len(texts)
+    assert [r.text for r in got if r.packed is not None and len(r.packed) == 16] == [plain]
+
+
+def test_lean_staging_leaves_no_shuffle_files(spark):
+    def files():
+        kept = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (kept.apply(i).getName() for i in range(kept.size())) if n.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(SHUFFLE_CLEANUP)
+    counted = staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), lean=True)
+    ends = time.time() + 30
+    while files() - before and time.time() < ends:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(SHUFFLE_CLEANUP) == setting
+    assert counted.agg(F.sum("count")).first()[0] == 1000

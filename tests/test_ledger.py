@@ -474,6 +474,27 @@ def test_reconcile_sums_entries_by_charge_and_invoices_need_no_join(spark, charg
     assert got == {ACME: (4 * 1005 + 2 * 5, 4 * 100 + 2 * 0, 101 - 400), GLOBEX: (2 * 25, 2 * 2, 2 - 4)}
 
 
+def test_reconcile_shuffles_ids_as_bytes(spark, charges):
+    """A UUID takes 16 bytes in a shuffle, and other ids, absent ones and repeated invoices are told apart."""
+    odd = B.replace("-", "")
+    book = book_of(charges((A, ACME, METER, 10, 1005, 0), (odd, GLOBEX, METER, 1, 50, 1), (B.upper(), GLOBEX, METER, 1, 70, 2)))
+    links = spark.createDataFrame(
+        [(A, C), (odd, "inv-1"), (B.upper(), C.upper()), (None, C), (A, None)], "charge_id string, invoice_id string"
+    )
+    headers = spark.createDataFrame(
+        [(i, t, 1000, 100) for i, t in ((C, ACME), ("inv-1", GLOBEX), ("inv-1", ACME), (C.upper(), GLOBEX), (None, ACME))],
+        "id string, tenant_id string, net_minor bigint, tax_minor bigint",
+    )
+    found = invoicing.reconcile(links, book.entries, headers)
+    got = {(r.invoice_id, r.tenant_id): (r.posted_revenue_minor, r.posted_tax_minor) for r in found.collect()}
+    assert got == {
+        (C, ACME): (1005, 100), ("inv-1", GLOBEX): (50, 5), ("inv-1", ACME): (50, 5), (C.upper(), GLOBEX): (70, 7), (None, ACME): (0, 0),
+    }
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(charge#" in plan and "hashpartitioning(invoice#" in plan
+    assert "hashpartitioning(charge_id#" not in plan and "hashpartitioning(invoice_id#" not in plan
+
+
 def test_invoice_id_is_hashed_once(spark):
     """The id of another currency's invoice has the currency; neither is made in a branch."""
     from tallywork.functions.keys import natural_id
